@@ -52,12 +52,11 @@ def drop_missing(df: DataFrame, *names: str) -> DataFrame:
     return df.dropna(subset=list(names) or None)
 
 
-def where_equals_statistic(df: DataFrame, column: str, statistic: Column) -> DataFrame:
-    """Distinct values equal to an aggregate of their own column.
+def where_equals(df: DataFrame, column: str, goal: Column) -> DataFrame:
+    """Distinct values of a column equal to a scalar (``table.scalar()``).
 
     An interpolated quantile may equal no row, then the result is empty.
     """
-    goal = df.agg(statistic.alias("goal")).scalar()
     return df.where(F.col(column) == goal).select(column).distinct()
 
 

@@ -21,11 +21,16 @@ VERTICES = "geo_id string, part_id int, seq int, x double, y double"
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """CSV with a header and a declared schema; ``NA`` and empty fields are missing."""
-    return spark.read.csv(path, header=True, schema=schema, nullValue="NA", mode="PERMISSIVE")
+    return spark.read.csv(
+        path, header=True, schema=schema, nullValue="NA", mode="PERMISSIVE",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    writer = df.write.mode("overwrite").option("header", True).option("nullValue", "NA")
+    writer = df.write.mode("overwrite").options(
+        header=True, nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     (writer.partitionBy(partition_by) if partition_by else writer).csv(path)
 
 
