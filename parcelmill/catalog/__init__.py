@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["tables", "aggregation"]
+SECTIONS = ["tables", "aggregation", "functions", "charts", "areas", "features", "pricing"]
 
 
 def load():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelmill.functions.numeric import from_log10, ratio
 from parcelmill.functions.text import readable_term
-from parcelmill.operators.recipe import Roles, feature_names
+from parcelmill.operators.recipe import feature_names
 from parcelmill.operators.relational import bind_labelled, longer, wider
 from parcelmill.operators.windows import rank_within
 from parcelmill.runtime import settle
@@ -87,10 +87,10 @@ def interval_width(df: DataFrame) -> DataFrame:
 # --- inside a model ----------------------------------------------------------
 
 
-def coefficient_table(spark: SparkSession, model: PipelineModel, roles: Roles | None = None) -> DataFrame:
+def coefficient_table(spark: SparkSession, model: PipelineModel, names: Sequence[str] | None = None) -> DataFrame:
     """term, estimate, std_error, statistic, p_value of a freshly fitted linear model."""
     last = model.stages[-1]
-    names = [*feature_names(model.stages, roles), "(Intercept)"]
+    names = [*(names or feature_names(model.stages)), "(Intercept)"]
     summary = last.summary
     estimates = [*last.coefficients.toArray().tolist(), last.intercept]
     rows = zip(names, estimates, summary.coefficientStandardErrors, summary.tValues, summary.pValues)
@@ -100,16 +100,16 @@ def coefficient_table(spark: SparkSession, model: PipelineModel, roles: Roles |
     )
 
 
-def importance_table(spark: SparkSession, model: PipelineModel, roles: Roles | None = None) -> DataFrame:
+def importance_table(spark: SparkSession, model: PipelineModel, names: Sequence[str] | None = None) -> DataFrame:
     """term and importance (they add up to one)."""
     values = model.stages[-1].featureImportances.toArray().tolist()
-    names = feature_names(model.stages, roles)
+    names = names or feature_names(model.stages)
     return spark.createDataFrame(list(zip(names, values)), "term string, importance double")
 
 
-def tree_importance_table(spark: SparkSession, model: PipelineModel, roles: Roles | None = None) -> DataFrame:
+def tree_importance_table(spark: SparkSession, model: PipelineModel, names: Sequence[str] | None = None) -> DataFrame:
     """Importance with its spread over trees: value, standard error, trees that used the term."""
-    names = feature_names(model.stages, roles)
+    names = names or feature_names(model.stages)
     per_tree = [t.featureImportances.toArray() for t in model.stages[-1].trees]
     rows = []
     for k, name in enumerate(names):

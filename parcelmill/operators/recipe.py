@@ -394,8 +394,12 @@ def recipe_stages(
     ]
 
 
-def feature_names(fitted_stages: Sequence, roles: Roles | None = None) -> list[str]:
+def feature_names(fitted_stages: Sequence) -> list[str]:
     """Names of the entries of ``features``, in order."""
-    roles = roles or Roles()
-    coder = next(s for s in fitted_stages if isinstance(s, DummyColumns))
-    return [*roles.numeric, *coder.names()]
+    names: list[str] = []
+    for stage in fitted_stages:
+        if isinstance(stage, DummyColumns):
+            names = [*names, *stage.names()]
+        elif isinstance(stage, DesignVector):
+            names = [*stage._value("numeric"), *names]
+    return names
