@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["tables", "aggregation", "functions", "charts", "areas", "features", "pricing"]
+SECTIONS = ["tables", "aggregation", "functions", "charts", "areas", "features", "pricing", "serving", "jobs"]
 
 
 def load():

@@ -26,19 +26,19 @@ def bins_sql(value: str, keys: str = "", width: str = "(max(v) - min(v)) / 29.0"
             CAST(ceil(v / w - 0.5) AS BIGINT) AS bin, count(*) AS n FROM vals JOIN wide ON {same.format(a='vals', b='wide')} GROUP BY ALL""",
         "grid": f"SELECT {k}w, unnest(range(min(bin), max(bin) + 1)) AS bin FROM slots GROUP BY {k}w",
         "hist": f"""SELECT {', '.join('grid.' + c.strip() for c in keys.split(',')) + ',' if keys else ''} grid.bin,
-            round(grid.bin * grid.w, 4) AS center, round(grid.w, 4) AS width, coalesce(slots.n, 0) AS n FROM grid LEFT JOIN slots
+            round(grid.bin * grid.w, 6) AS center, round(grid.w, 6) AS width, coalesce(slots.n, 0) AS n FROM grid LEFT JOIN slots
             ON grid.bin = slots.bin AND {same.format(a='grid', b='slots')}""",
     }
 
 
 @query("DS1_histogram", "SELECT * FROM hist", **bins_sql("finished_living_area"))
 def ds1(t: Inputs):
-    return rounded(dist.histogram(t.housing(), "finished_living_area"), 4, "center", "width")
+    return rounded(dist.histogram(t.housing(), "finished_living_area"), 6, "center", "width")
 
 
 @query("DS1_histogram_log_axis", "SELECT * FROM hist", **bins_sql("log10(sale_price_adj)", where="sale_price_adj > 0"))
 def ds1_log(t: Inputs):
-    return rounded(dist.histogram(t.housing(), "sale_price_adj", log10=True), 4, "center", "width")
+    return rounded(dist.histogram(t.housing(), "sale_price_adj", log10=True), 6, "center", "width")
 
 
 @query(
@@ -47,7 +47,7 @@ def ds1_log(t: Inputs):
     **bins_sql("sale_price_adj", width="(quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 10"),
 )
 def ds2(t: Inputs):
-    return rounded(dist.iqr_histogram(t.housing(), "sale_price_adj"), 4, "center", "width")
+    return rounded(dist.iqr_histogram(t.housing(), "sale_price_adj"), 6, "center", "width")
 
 
 @query("DS2_histogram_fixed_width", "SELECT * FROM hist", **bins_sql("year_blt", width="max(5.0::DOUBLE)"))
@@ -58,7 +58,7 @@ def ds2_fixed(t: Inputs):
 @query("DS3_grouped_histogram", "SELECT * FROM hist", **bins_sql("finished_living_area", "style_desc"))
 def ds3(t: Inputs):
     table = dist.histogram(t.housing(), "finished_living_area", ["style_desc"])
-    return rounded(table, 4, "center", "width")
+    return rounded(table, 6, "center", "width")
 
 
 @query(
@@ -245,7 +245,7 @@ def ds14(t: Inputs):
 def ds3_frequent(t: Inputs):
     housing = settle(t.housing())
     kept = keep_frequent(housing, "geo_id", housing.count() / 25)
-    return rounded(dist.histogram(kept, "house_age_at_sale", ["geo_id"]), 4, "center", "width")
+    return rounded(dist.histogram(kept, "house_age_at_sale", ["geo_id"]), 6, "center", "width")
 
 
 @query(

@@ -39,11 +39,11 @@ FIT1 = {
         FROM housing h, fit1""",
 }
 FIT2 = {
-    "s1": """SELECT regr_intercept(y, x) AS ay, regr_slope(y, x) AS by, regr_intercept(z, x) AS az, regr_slope(z, x) AS bz FROM
+    "s1": """SELECT regr_intercept(y, x) AS ay, regr_slope(y, x) AS b_y, regr_intercept(z, x) AS az, regr_slope(z, x) AS bz FROM
         (SELECT log10(sale_price_adj) AS y, finished_living_area AS x, CAST(house_age_at_sale AS DOUBLE) AS z FROM housing)""",
-    "s2": """SELECT regr_slope(log10(sale_price_adj) - ay - by * finished_living_area,
+    "s2": """SELECT regr_slope(log10(sale_price_adj) - ay - b_y * finished_living_area,
         house_age_at_sale - az - bz * finished_living_area) AS c FROM housing, s1""",
-    "fit2": "SELECT ay - c * az AS a, by - c * bz AS b, c FROM s1, s2",
+    "fit2": "SELECT ay - c * az AS a, b_y - c * bz AS b, c FROM s1, s2",
 }
 T_TERMS = """((pow({z}, 3) + {z}) / 4 / df + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / 96 / pow(df, 2)
     + (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / 384 / pow(df, 3))""".format(
