@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelmill.catalog.inputs import Inputs, rounded
+from parcelmill.catalog.inputs import Inputs
 from parcelmill.catalog.registry import query
 from parcelmill.functions import dates, numeric, text
 from parcelmill.functions import property_rules as rules
@@ -209,12 +209,12 @@ def sf17(t: Inputs):
 
 @query(
     "SF18_inflation",
-    """SELECT s.par_id, round(s.sale_price * ((SELECT idx FROM price_index WHERE year = 2000) / p.idx), 4) AS sale_price_adj
+    """SELECT s.par_id, s.sale_price * ((SELECT idx FROM price_index WHERE year = 2000) / p.idx) AS sale_price_adj
     FROM sales s LEFT JOIN price_index p ON p.year = s.sale_year""",
 )
 def sf18(t: Inputs):
     adjusted = rules.adjust_prices(t.sales(), t.price_index(), "sale_price", "sale_year", 2000)
-    return rounded(adjusted.select("par_id", "sale_price_adj"), 4, "sale_price_adj")
+    return adjusted.select("par_id", "sale_price_adj")
 
 
 STYLE_SQL = """CASE WHEN regexp_matches(style_desc, 'CONDO') THEN 'CONDO'

@@ -102,9 +102,9 @@ def held_out(t: Inputs, names: list[str] = AREA) -> DataFrame:
     return models.resample(rows, models.linear, stages=lambda: [rec.DesignVector(names)])
 
 
-@query("MD4_out_of_fold_predictions", "SELECT par_id, fold, round(pred, 6) AS pred FROM held", **CV)
+@query("MD4_out_of_fold_predictions", "SELECT par_id, fold, round(pred, 5) AS pred FROM held", **CV)
 def md4(t: Inputs):
-    return rounded(held_out(t).select("par_id", "fold", "pred"), 6, "pred")
+    return rounded(held_out(t).select("par_id", "fold", "pred"), 5, "pred")
 
 
 FOLD_METRICS = """SELECT fold, 'rmse' AS metric, sqrt(avg(pow(sale_price_adj - {p}, 2))) AS estimate FROM held GROUP BY fold
@@ -124,11 +124,11 @@ def md5(t: Inputs):
     return rounded(ev.fold_summary(by_fold), 2, "mean", "std_err")
 
 
-@query("MD6_predict_dollars", "SELECT par_id, round(pred, 6) AS pred, round(pred_dollar, 3) AS pred_dollar FROM scored", **FIT1)
+@query("MD6_predict_dollars", "SELECT par_id, round(pred, 5) AS pred, round(pred_dollar, 2) AS pred_dollar FROM scored", **FIT1)
 def md6(t: Inputs):
     housing = settle(t.housing())
     scored = models.predict(small_fit(housing), housing).select("par_id", "pred", "pred_dollar")
-    return rounded(rounded(scored, 6, "pred"), 3, "pred_dollar")
+    return rounded(rounded(scored, 5, "pred"), 2, "pred_dollar")
 
 
 def bounded(t: Inputs) -> DataFrame:
@@ -138,13 +138,13 @@ def bounded(t: Inputs) -> DataFrame:
 
 @query(
     "MD7_linear_bounds",
-    """SELECT par_id, round(pred - half, 6) AS pred_lower, round(pred + half, 6) AS pred_upper,
-    round(pow(10, pred - half), 3) AS pred_lower_dollar, round(pow(10, pred + half), 3) AS pred_upper_dollar FROM bounded""",
+    """SELECT par_id, round(pred - half, 5) AS pred_lower, round(pred + half, 5) AS pred_upper,
+    round(pow(10, pred - half), 2) AS pred_lower_dollar, round(pow(10, pred + half), 2) AS pred_upper_dollar FROM bounded""",
     **BOUNDS,
 )
 def md7(t: Inputs):
     chosen = bounded(t).select("par_id", "pred_lower", "pred_upper", "pred_lower_dollar", "pred_upper_dollar")
-    return rounded(rounded(chosen, 6, "pred_lower", "pred_upper"), 3, "pred_lower_dollar", "pred_upper_dollar")
+    return rounded(rounded(chosen, 5, "pred_lower", "pred_upper"), 2, "pred_lower_dollar", "pred_upper_dollar")
 
 
 @query("MD8_tree_bounds")
@@ -267,24 +267,24 @@ def md15(t: Inputs):
 
 @query(
     "MD16_residuals",
-    """SELECT par_id, round(log10(sale_price_adj) - pred, 6) AS resid, round(sale_price_adj - pred_dollar, 3) AS resid_dollar FROM scored""",
+    """SELECT par_id, round(log10(sale_price_adj) - pred, 5) AS resid, round(sale_price_adj - pred_dollar, 2) AS resid_dollar FROM scored""",
     **FIT1,
 )
 def md16(t: Inputs):
     housing = settle(t.housing())
     table = models.residuals(models.predict(small_fit(housing), housing)).select("par_id", "resid", "resid_dollar")
-    return rounded(rounded(table, 6, "resid"), 3, "resid_dollar")
+    return rounded(rounded(table, 5, "resid"), 2, "resid_dollar")
 
 
 @query(
     "MD17_interval_width",
-    """SELECT par_id, round(pow(10, pred + half) - pow(10, pred - half), 3) AS prediction_range,
+    """SELECT par_id, round(pow(10, pred + half) - pow(10, pred - half), 2) AS prediction_range,
     round((pow(10, pred + half) - pow(10, pred - half)) / pred_dollar, 6) AS prediction_range_pct FROM bounded""",
     **BOUNDS,
 )
 def md17(t: Inputs):
     table = ev.interval_width(bounded(t)).select("par_id", "prediction_range", "prediction_range_pct")
-    return rounded(rounded(table, 3, "prediction_range"), 6, "prediction_range_pct")
+    return rounded(rounded(table, 2, "prediction_range"), 6, "prediction_range_pct")
 
 
 @query(
