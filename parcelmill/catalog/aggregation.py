@@ -37,7 +37,7 @@ def pooled_sql(column: str, groups: dict) -> str:
        FROM housing WINDOW w AS (PARTITION BY style_desc)) GROUP BY geo_id) z ON z.geo_id = g.geo_id""",
 )
 def flagship(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept("geo_id", "style_desc", "sale_price_adj", "finished_living_area")
     stats = agg.count_and_median(housing, ["geo_id"], "sale_price_adj")
     ranks = fct.level_order(housing, "geo_id", "sale_price_adj", name="price_rank")
     scored = win.zscore(housing, ["style_desc"], "finished_living_area", "z")
@@ -71,7 +71,7 @@ def ag2(t: Inputs):
     "SELECT geo_id, style_desc, round(quantile_cont(sale_price_adj, 0.5), 6) AS median FROM housing GROUP BY ALL",
 )
 def ag3(t: Inputs):
-    return rounded(agg.median(t.housing(), ["geo_id", "style_desc"], "sale_price_adj"), 6, "median")
+    return rounded(agg.median(t.kept("geo_id", "style_desc", "sale_price_adj"), ["geo_id", "style_desc"], "sale_price_adj"), 6, "median")
 
 
 @query(
@@ -79,7 +79,7 @@ def ag3(t: Inputs):
     "SELECT sale_year, round(quantile_cont(sale_price_adj, 0.5), 6) AS median, count(*) AS n FROM housing GROUP BY ALL",
 )
 def ag4(t: Inputs):
-    return rounded(agg.count_and_median(t.housing(), ["sale_year"], "sale_price_adj"), 6, "median")
+    return rounded(agg.count_and_median(t.kept("sale_year", "sale_price_adj"), ["sale_year"], "sale_price_adj"), 6, "median")
 
 
 @query(
@@ -88,7 +88,7 @@ def ag4(t: Inputs):
     FROM housing GROUP BY style_desc""",
 )
 def ag5(t: Inputs):
-    return rounded(agg.quantiles(t.housing(), ["style_desc"], "lot_area", {"q70": 0.7, "q95": 0.95}), 6, "q70", "q95")
+    return rounded(agg.quantiles(t.kept("style_desc", "lot_area"), ["style_desc"], "lot_area", {"q70": 0.7, "q95": 0.95}), 6, "q70", "q95")
 
 
 @query(
@@ -99,7 +99,7 @@ def ag5(t: Inputs):
 def ag5_large(t: Inputs):
     marks = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
     # A low limit sends these groups down the path for groups one task could not hold.
-    found = agg.quantiles(settle(t.housing()), ["style_desc"], "lot_area", marks, max_group_rows=1000)
+    found = agg.quantiles(t.kept("style_desc", "lot_area"), ["style_desc"], "lot_area", marks, max_group_rows=1000)
     return rounded(found, 6, *marks)
 
 
@@ -109,7 +109,7 @@ def ag5_large(t: Inputs):
     FROM housing GROUP BY geo_id""",
 )
 def ag6(t: Inputs):
-    return rounded(agg.iqr(t.housing(), ["geo_id"], "sale_price_adj"), 6, "iqr")
+    return rounded(agg.iqr(t.kept("geo_id", "sale_price_adj"), ["geo_id"], "sale_price_adj"), 6, "iqr")
 
 
 @query(
@@ -169,10 +169,8 @@ def _profile_sql() -> str:
 
 @query("AG12_column_profile", _profile_sql())
 def ag12(t: Inputs):
-    chosen = t.housing().select(
-        "finished_living_area", "bedrooms", "house_age_at_sale", "geo_id", "condition_desc", "heat_type"
-    )
-    table = agg.profile(settle(chosen)).drop("position", "type")
+    chosen = t.kept("finished_living_area", "bedrooms", "house_age_at_sale", "geo_id", "condition_desc", "heat_type")
+    table = agg.profile(chosen).drop("position", "type")
     table = rounded(table, 4, "mean", "p0", "p25", "p50", "p75", "p100")
     return rounded(rounded(table, 3, "sd"), 6, "complete_rate")
 
@@ -226,7 +224,7 @@ def wn1(t: Inputs):
     FROM housing WINDOW g AS (PARTITION BY geo_id), s AS (PARTITION BY style_desc)""",
 )
 def wn2(t: Inputs):
-    housing = t.housing().select("par_id", "geo_id", "style_desc", "lot_area", "finished_living_area")
+    housing = t.kept("par_id", "geo_id", "style_desc", "lot_area", "finished_living_area")
     scored = win.zscore(housing, ["geo_id"], "lot_area", "lot_area_zscore")
     scored = win.zscore(scored, ["style_desc"], "finished_living_area", "finished_living_area_zscore")
     out = scored.select("par_id", "lot_area_zscore", "finished_living_area_zscore")
@@ -441,12 +439,12 @@ BY_MEDIAN = """SELECT geo_id, round(quantile_cont(sale_price_adj, 0.5), 6) AS st
 
 @query("FC1_reorder_by_median", BY_MEDIAN)
 def fc1(t: Inputs):
-    return rounded(fct.level_order(t.housing(), "geo_id", "sale_price_adj"), 6, "stat")
+    return rounded(fct.level_order(t.kept("geo_id", "sale_price_adj"), "geo_id", "sale_price_adj"), 6, "stat")
 
 
 @query("FC2_reverse_order", f"SELECT geo_id, (SELECT count(*) FROM o) + 1 - level_rank AS level_rank FROM o", o=BY_MEDIAN)
 def fc2(t: Inputs):
-    order = settle(fct.level_order(t.housing(), "geo_id", "sale_price_adj"))
+    order = settle(fct.level_order(t.kept("geo_id", "sale_price_adj"), "geo_id", "sale_price_adj"))
     return fct.reverse(order).select("geo_id", "level_rank")
 
 

@@ -179,7 +179,7 @@ def ge11(t: Inputs):
       (SELECT geo_id, quantile_cont(sale_price_adj, 0.5) AS median FROM housing GROUP BY geo_id) USING (geo_id)""",
 )
 def ge12(t: Inputs):
-    metric = agg.median(t.housing(), ["geo_id"], "sale_price_adj")
+    metric = agg.median(t.kept("geo_id", "sale_price_adj"), ["geo_id"], "sale_price_adj")
     table = geo.choropleth(t.areas().select("geo_id").distinct(), metric, "median")
     return rounded(table.select("geo_id", "shade", "label"), 6, "shade")
 

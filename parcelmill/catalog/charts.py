@@ -11,7 +11,7 @@ from parcelmill.operators import aggregates as agg
 from parcelmill.operators import distribution as dist
 from parcelmill.operators.factors import level_order
 from parcelmill.operators.windows import keep_frequent
-from parcelmill.runtime import lookup_join, settle
+from parcelmill.runtime import lookup_join
 
 
 def bins_sql(value: str, keys: str = "", width: str = "(max(v) - min(v)) / 29.0", source: str = "housing", where: str = "true") -> dict:
@@ -33,12 +33,12 @@ def bins_sql(value: str, keys: str = "", width: str = "(max(v) - min(v)) / 29.0"
 
 @query("DS1_histogram", "SELECT * FROM hist", **bins_sql("finished_living_area"))
 def ds1(t: Inputs):
-    return rounded(dist.histogram(t.housing(), "finished_living_area"), 6, "center", "width")
+    return rounded(dist.histogram(t.kept("finished_living_area"), "finished_living_area"), 6, "center", "width")
 
 
 @query("DS1_histogram_log_axis", "SELECT * FROM hist", **bins_sql("log10(sale_price_adj)", where="sale_price_adj > 0"))
 def ds1_log(t: Inputs):
-    return rounded(dist.histogram(t.housing(), "sale_price_adj", log10=True), 6, "center", "width")
+    return rounded(dist.histogram(t.kept("sale_price_adj"), "sale_price_adj", log10=True), 6, "center", "width")
 
 
 @query(
@@ -47,7 +47,7 @@ def ds1_log(t: Inputs):
     **bins_sql("sale_price_adj", width="(quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 10"),
 )
 def ds2(t: Inputs):
-    return rounded(dist.iqr_histogram(t.housing(), "sale_price_adj"), 6, "center", "width")
+    return rounded(dist.iqr_histogram(t.kept("sale_price_adj"), "sale_price_adj"), 6, "center", "width")
 
 
 @query("DS2_histogram_fixed_width", "SELECT * FROM hist", **bins_sql("year_blt", width="max(5.0::DOUBLE)"))
@@ -57,7 +57,7 @@ def ds2_fixed(t: Inputs):
 
 @query("DS3_grouped_histogram", "SELECT * FROM hist", **bins_sql("finished_living_area", "style_desc"))
 def ds3(t: Inputs):
-    table = dist.histogram(t.housing(), "finished_living_area", ["style_desc"])
+    table = dist.histogram(t.kept("style_desc", "finished_living_area"), "finished_living_area", ["style_desc"])
     return rounded(table, 6, "center", "width")
 
 
@@ -72,7 +72,7 @@ def ds3(t: Inputs):
         FROM housing h JOIN units USING (geo_id) GROUP BY ALL""",
 )
 def ds4(t: Inputs):
-    return dist.tallest_bin(dist.pretty_histogram(t.housing(), "sale_price_adj", ["geo_id"]), ["geo_id"])
+    return dist.tallest_bin(dist.pretty_histogram(t.kept("geo_id", "sale_price_adj"), "sale_price_adj", ["geo_id"]), ["geo_id"])
 
 
 def density_sql(value: str, key: str, points: int) -> dict:
@@ -98,7 +98,7 @@ def density_sql(value: str, key: str, points: int) -> dict:
     **density_sql("log10(sale_price_adj)", "style_desc", 512),
 )
 def ds5(t: Inputs):
-    return rounded(dist.density(t.housing(), "sale_price_adj", ["style_desc"], log10=True), 6, "x", "density")
+    return rounded(dist.density(t.kept("style_desc", "sale_price_adj"), "sale_price_adj", ["style_desc"], log10=True), 6, "x", "density")
 
 
 def _axis(v: str) -> str:
@@ -121,14 +121,14 @@ def _axis(v: str) -> str:
 )
 def ds6(t: Inputs):
     table = dist.density_2d(
-        settle(t.housing()), "finished_living_area", "sale_price_adj", points=40, log10=(False, True)
+        t.kept("finished_living_area", "sale_price_adj"), "finished_living_area", "sale_price_adj", points=40, log10=(False, True)
     )
     return rounded(table.drop("band"), 6, "x", "y", "ndensity")
 
 
 @query("DS6_contour_bands")
 def ds6_bands(t: Inputs):
-    chosen = settle(t.housing().select("style_desc", "lot_area", "sale_price_adj"))
+    chosen = t.kept("style_desc", "lot_area", "sale_price_adj")
     table = dist.density_2d(chosen, "lot_area", "sale_price_adj", ["style_desc"], points=50)
     return table.groupBy("style_desc", "band").agg(F.count(F.lit(1)).alias("cells"))
 
@@ -151,13 +151,13 @@ def box_sql(value: str, key: str) -> dict:
 
 @query("DS7_box_summary", BOX.format(k="vals.g AS condition_desc"), **box_sql("sale_price_adj", "condition_desc"))
 def ds7(t: Inputs):
-    table = dist.box_summary(settle(t.housing()), ["condition_desc"], "sale_price_adj")
+    table = dist.box_summary(t.kept("condition_desc", "sale_price_adj"), ["condition_desc"], "sale_price_adj")
     return rounded(table, 6, *BOX_NUMBERS)
 
 
 @query("DS7_box_summary_log_axis", BOX.format(k="vals.g AS geo_id"), **box_sql("log10(sale_price_adj)", "geo_id"))
 def ds7_log(t: Inputs):
-    table = dist.box_summary(settle(t.housing()), ["geo_id"], "sale_price_adj", log10=True)
+    table = dist.box_summary(t.kept("geo_id", "sale_price_adj"), ["geo_id"], "sale_price_adj", log10=True)
     return rounded(table, 6, *BOX_NUMBERS)
 
 
@@ -193,7 +193,7 @@ def ds9(t: Inputs):
         FROM weights GROUP BY ALL""",
 )
 def ds10(t: Inputs):
-    table = dist.trend(settle(t.housing()), "finished_living_area", "sale_price_adj", ["style_desc"])
+    table = dist.trend(t.kept("style_desc", "finished_living_area", "sale_price_adj"), "finished_living_area", "sale_price_adj", ["style_desc"])
     return rounded(rounded(table, 4, "x"), 2, "y")
 
 
@@ -202,7 +202,7 @@ def ds10(t: Inputs):
     """SELECT sale_year, style_desc, round(quantile_cont(sale_price_adj, 0.5), 6) AS median, count(*) AS n FROM housing GROUP BY ALL""",
 )
 def ds11(t: Inputs):
-    table = agg.count_and_median(t.housing(), ["sale_year", "style_desc"], "sale_price_adj")
+    table = agg.count_and_median(t.kept("sale_year", "style_desc", "sale_price_adj"), ["sale_year", "style_desc"], "sale_price_adj")
     return rounded(table, 6, "median")
 
 
@@ -220,7 +220,7 @@ def ds12(t: Inputs):
     FROM (SELECT geo_id, quantile_cont(sale_price_adj, 0.5) AS median FROM housing GROUP BY geo_id)""",
 )
 def ds13(t: Inputs):
-    table = agg.median(t.housing(), ["geo_id"], "sale_price_adj")
+    table = agg.median(t.kept("geo_id", "sale_price_adj"), ["geo_id"], "sale_price_adj")
     return rounded(dist.rescale(table, "median"), 6, "scaled")
 
 
@@ -243,7 +243,7 @@ def ds14(t: Inputs):
     },
 )
 def ds3_frequent(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept("geo_id", "house_age_at_sale")
     kept = keep_frequent(housing, "geo_id", housing.count() / 25)
     return rounded(dist.histogram(kept, "house_age_at_sale", ["geo_id"]), 6, "center", "width")
 
@@ -254,7 +254,7 @@ def ds3_frequent(t: Inputs):
     **box_sql("sale_price_adj", "style_desc"),
 )
 def ds7_rank(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept("style_desc", "sale_price_adj")
     boxes = dist.box_summary(housing, ["style_desc"], "sale_price_adj").select("style_desc", "median")
     ranks = level_order(housing, "style_desc", "sale_price_adj").select("style_desc", "level_rank")
     return rounded(lookup_join(boxes, ranks, ["style_desc"]), 6, "median")

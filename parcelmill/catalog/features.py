@@ -20,7 +20,7 @@ from parcelmill.runtime import settle
     ELSE 'test' END AS split FROM housing""",
 )
 def fe1(t: Inputs):
-    return rec.split(t.housing(), "par_id", SEED).select("par_id", "split")
+    return rec.split(t.housing("par_id"), "par_id", SEED).select("par_id", "split")
 
 
 STRATA = {
@@ -35,7 +35,8 @@ STRATA = {
 
 @query("FE2_stratified_split", "SELECT par_id, split FROM labelled", **STRATA)
 def fe2(t: Inputs):
-    return rec.split(t.housing(), "par_id", SEED, strata="sale_price_adj").select("par_id", "split")
+    labelled = rec.split(t.kept("par_id", "sale_price_adj"), "par_id", SEED, strata="sale_price_adj")
+    return labelled.select("par_id", "split")
 
 
 @query(
@@ -43,7 +44,7 @@ def fe2(t: Inputs):
     f"SELECT par_id, (row_number() OVER (ORDER BY {HASH}) - 1) % 10 + 1 AS fold FROM housing",
 )
 def fe3(t: Inputs):
-    return rec.folds(t.housing(), "par_id", SEED).select("par_id", "fold")
+    return rec.folds(t.housing("par_id"), "par_id", SEED).select("par_id", "fold")
 
 
 @query(
@@ -79,7 +80,7 @@ MODES = """SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS mode FROM (SELECT {c},
     m=MODES.format(c="condition_desc") + " UNION ALL " + MODES.format(c="heat_type"),
 )
 def fe6(t: Inputs):
-    chosen = settle(t.housing().select("par_id", "condition_desc", "heat_type"))
+    chosen = t.kept("par_id", "condition_desc", "heat_type")
     return rec.ModeImputer(["condition_desc", "heat_type"]).fit(chosen).transform(chosen)
 
 
@@ -88,7 +89,7 @@ def fe6(t: Inputs):
     """SELECT par_id, coalesce(CAST(bedrooms AS DOUBLE), (SELECT quantile_cont(bedrooms, 0.5) FROM housing)) AS bedrooms FROM housing""",
 )
 def fe7(t: Inputs):
-    chosen = settle(t.housing().select("par_id", "bedrooms"))
+    chosen = t.kept("par_id", "bedrooms")
     return rec.MedianImputer(["bedrooms"]).fit(chosen).transform(chosen)
 
 
@@ -116,7 +117,7 @@ def fe8(t: Inputs):
     (SELECT par_id, geo_id, count(*) OVER (PARTITION BY geo_id) AS n, count(*) OVER () AS total FROM housing)""",
 )
 def fe9(t: Inputs):
-    chosen = settle(t.housing().select("par_id", "geo_id"))
+    chosen = t.kept("par_id", "geo_id")
     return rec.RareLevels({"geo_id": 0.041}, {"geo_id": "school_other"}).fit(chosen).transform(chosen)
 
 
@@ -126,7 +127,7 @@ def fe9(t: Inputs):
     (SELECT par_id, geo_id, count(*) OVER (PARTITION BY geo_id) AS n FROM housing)""",
 )
 def fe10(t: Inputs):
-    chosen = settle(t.housing().select("par_id", "geo_id"))
+    chosen = t.kept("par_id", "geo_id")
     return rec.RareLevels({"geo_id": 500}, {"geo_id": "school_other"}).fit(chosen).transform(chosen)
 
 
@@ -150,7 +151,7 @@ def fe11(t: Inputs):
     CAST(grade_desc = 'Very Good' AS DOUBLE) AS "grade_desc_Very.Good" FROM housing""",
 )
 def fe12(t: Inputs):
-    chosen = settle(t.housing().select("par_id", "grade_desc"))
+    chosen = t.kept("par_id", "grade_desc")
     coded = rec.DummyCoder(["grade_desc"], {"grade_desc": "Average"}).fit(chosen).transform(chosen)
     return coded.drop("grade_desc")
 
@@ -173,7 +174,7 @@ BAKED = {
     **BAKED,
 )
 def fe13(t: Inputs):
-    rows = settle(rec.split(t.housing(), "par_id", SEED, strata="sale_price_adj"))
+    rows = settle(rec.split(t.kept(), "par_id", SEED, strata="sale_price_adj"))
     stages = rec.recipe_stages(area_rows=440)
     fitted = Pipeline(stages=stages).fit(rows.where(F.col("split") == "train"))
     baked = fitted.transform(rows.where(F.col("split") == "test"))
@@ -197,6 +198,6 @@ def fe13_vector(t: Inputs):
     USING (geo_id, style_desc)""",
 )
 def fe14(t: Inputs):
-    chosen = settle(t.housing().select("par_id", "geo_id", "style_desc", "condition_desc"))
+    chosen = t.kept("par_id", "geo_id", "style_desc", "condition_desc")
     filled = rec.impute_mode_within(chosen, ["geo_id", "style_desc"], "condition_desc")
     return filled.select("par_id", "condition_desc")

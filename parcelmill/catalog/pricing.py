@@ -73,14 +73,14 @@ def md1(t: Inputs):
 
 @query("MD2_random_forest")
 def md2(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     fitted = models.fit(housing, models.forest(**TREES))
     return models.predict(fitted, housing).select("par_id", "pred", "pred_dollar")
 
 
 @query("MD3_bagged_trees")
 def md3(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     fitted = models.fit(housing, models.bagged_trees(**TREES))
     return models.predict(fitted, housing).select("par_id", "pred", "pred_dollar")
 
@@ -98,7 +98,7 @@ CV = {
 
 
 def held_out(t: Inputs, names: list[str] = AREA) -> DataFrame:
-    rows = rec.folds(t.housing(), "par_id", SEED)
+    rows = rec.folds(t.housing("par_id", "sale_price_adj", *names), "par_id", SEED)
     return models.resample(rows, models.linear, stages=lambda: [rec.DesignVector(names)])
 
 
@@ -126,13 +126,13 @@ def md5(t: Inputs):
 
 @query("MD6_predict_dollars", "SELECT par_id, round(pred, 5) AS pred, round(pred_dollar, 2) AS pred_dollar FROM scored", **FIT1)
 def md6(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     scored = models.predict(small_fit(housing), housing).select("par_id", "pred", "pred_dollar")
     return rounded(rounded(scored, 5, "pred"), 2, "pred_dollar")
 
 
 def bounded(t: Inputs) -> DataFrame:
-    housing = settle(t.housing())
+    housing = t.kept("par_id", "sale_price_adj", *AREA)
     return modelling.score_with_bounds(small_fit(housing), housing, housing, names=AREA)
 
 
@@ -149,7 +149,7 @@ def md7(t: Inputs):
 
 @query("MD8_tree_bounds")
 def md8(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     fitted = models.fit(housing, models.bagged_trees(**TREES))
     return models.tree_bounds(fitted, housing).select("par_id", "pred", "pred_lower", "pred_upper")
 
@@ -162,7 +162,7 @@ def md8(t: Inputs):
     **FIT1,
 )
 def md9(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     table = ev.metrics(models.predict(small_fit(housing), housing), "sale_price_adj", "pred_dollar")
     return rounded(table, 2, "estimate")
 
@@ -176,7 +176,7 @@ def md9(t: Inputs):
         FROM scored""",
 )
 def md10(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     table = modelling.area_rsq(models.predict(small_fit(housing), housing).drop("features"))
     return rounded(table, 6, "estimate")
 
@@ -187,7 +187,7 @@ def md10(t: Inputs):
     **FIT1,
 )
 def md10_rmse(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     return rounded(modelling.area_rmse(models.predict(small_fit(housing), housing)), 6, "estimate")
 
 
@@ -244,7 +244,7 @@ TERMS = " UNION ALL ".join(
 
 def mean_terms(t: Inputs) -> DataFrame:
     """Mean log price per level, named like dummy columns."""
-    housing = settle(t.housing())
+    housing = t.kept()
     parts = [
         housing.where(F.col(c).isNotNull())
         .groupBy(F.concat(F.lit(f"{c}_"), F.replace(F.col(c), F.lit(" "), F.lit("."))).alias("term"))
@@ -271,7 +271,7 @@ def md15(t: Inputs):
     **FIT1,
 )
 def md16(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     table = models.residuals(models.predict(small_fit(housing), housing)).select("par_id", "resid", "resid_dollar")
     return rounded(rounded(table, 5, "resid"), 2, "resid_dollar")
 
@@ -297,7 +297,7 @@ def md17(t: Inputs):
     **FIT2,
 )
 def md18(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept("par_id", "sale_price_adj", *TWO)
     fitted = small_fit(housing, TWO)
     table = ev.coefficient_table(t.spark, fitted, names=TWO)
     effects = ev.contributions(models.predict(fitted, housing), table, TWO, "par_id").drop("estimate")
@@ -314,7 +314,7 @@ def md18(t: Inputs):
     **FIT1,
 )
 def md19(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     scored = settle(models.residuals(models.predict(small_fit(housing), housing)).drop("features"))
     columns = ["geo_id", "style_desc", "grade_desc", "condition_desc", "bedrooms"]
     rows = longer(scored, ["resid"], columns, "feature", "value", "string")
@@ -356,6 +356,6 @@ def md21(t: Inputs):
     **FIT1,
 )
 def md19_map(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     scored = models.residuals(models.predict(small_fit(housing), housing)).drop("features")
     return rounded(median(scored, ["geo_id"], "resid"), 6, "median")

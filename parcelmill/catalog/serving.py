@@ -65,7 +65,7 @@ def sv3(t: Inputs):
         ON s.geo_id = g.geo_id AND s.style_desc = g.style_desc AND s.bin = g.bin""",
 )
 def sv4(t: Inputs):
-    housing, requests = settle(t.housing()), settle(t.requests())
+    housing, requests = t.kept(), settle(t.requests())
     predictions = predict(small_fit(housing), requests).select("request_id", "pred_dollar")
     table = serving.price_histogram(housing, requests, predictions)
     return rounded(table, 6, "center", "width")
@@ -84,7 +84,7 @@ def sv4(t: Inputs):
     rated="SELECT * FROM housing WHERE grade_desc IS NOT NULL AND condition_desc IS NOT NULL",
 )
 def sv5(t: Inputs):
-    return serving.rating_grid(settle(t.housing()), settle(t.requests()))
+    return serving.rating_grid(t.kept(), settle(t.requests()))
 
 
 PROFILES = ("bedrooms", "fullbaths", "halfbaths", "sale_month")
@@ -115,7 +115,7 @@ def sv6(t: Inputs):
 )
 def sv6_quartiles(t: Inputs):
     wide = ("lot_area", "finished_living_area", "year_blt")
-    table = serving.feature_quartiles(settle(t.housing()), t.requests(), wide)
+    table = serving.feature_quartiles(t.kept(), t.requests(), wide)
     return rounded(table, 6, "q1", "median", "q3")
 
 
@@ -184,7 +184,7 @@ def sv7(t: Inputs):
 )
 def sv8(t: Inputs):
     return serving.value_domains(
-        settle(t.housing()),
+        t.kept(),
         ["geo_id", "style_desc"],
         {"grade_desc": GRADE_ORDER, "condition_desc": CONDITION_ORDER},
         {"lot_area": (0.0, 0.7), "finished_living_area": (0.0, 0.95), "year_blt": (0.0, 1.0)},

@@ -15,7 +15,7 @@ from parcelmill.operators.aggregates import count_by, quantiles
 from parcelmill.operators.recipe import GRADE_GROUPS, DesignVector, with_label
 from parcelmill.operators.windows import keep_frequent
 from parcelmill.plans import cleaning
-from parcelmill.runtime import big_join, lookup_join, scratch_path, settle
+from parcelmill.runtime import big_join, lookup_join, scratch_path
 from parcelmill.sources import tables as io
 
 # --- IO: scans, sources, sinks -----------------------------------------------
@@ -72,7 +72,7 @@ def io5(t: Inputs):
 
 @query("IO6_model_save_load", "SELECT count(*) AS n, 0.0::DOUBLE AS largest_difference FROM housing")
 def io6(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     fitted = models.fit(housing, models.linear(), [DesignVector(["finished_living_area"])])
     path = scratch_path(t.spark, "model")
     io.save_model(fitted, path)
@@ -256,7 +256,7 @@ def pf13(t: Inputs):
       WHERE lot_area = (SELECT quantile_cont(lot_area, 0.7) FROM housing)""",
 )
 def pf14(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     goals = [
         ("lot_area", "min", housing.agg(F.min("lot_area").alias("g"))),
         ("year_blt", "max", housing.agg(F.max("year_blt").alias("g"))),
@@ -278,7 +278,7 @@ def pf14(t: Inputs):
     WHERE n > (SELECT count(*) / 25 FROM housing)""",
 )
 def pf15(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     least = housing.count() / 25
     return keep_frequent(housing, "geo_id", least).select("par_id", "geo_id", "n")
 
@@ -385,7 +385,7 @@ def j9(t: Inputs):
     regr_slope(log10(sale_price_adj), finished_living_area) AS b FROM housing)""",
 )
 def j10(t: Inputs):
-    housing = settle(t.housing())
+    housing = t.kept()
     rows = with_label(housing)
     fitted: PipelineModel = Pipeline(stages=[DesignVector(["finished_living_area"]), models.linear()]).fit(rows)
     return rounded(fitted.transform(housing).drop("features"), 4, "pred")

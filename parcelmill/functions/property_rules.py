@@ -117,13 +117,13 @@ def fix_text(df: DataFrame, fixes=TEXT_FIXES) -> DataFrame:
 
 def recode_municipality(df: DataFrame, rules=MUNICIPALITY_RULES) -> DataFrame:
     """Ordered rules on ``muni_desc``, some only for one ``property_city``."""
-    muni = F.col("muni_desc")
+    # One projection per rule: a later rule reads the result of the earlier ones once.
     for city, pattern, name in rules:
-        hit = muni.rlike(pattern)
+        hit = F.col("muni_desc").rlike(pattern)
         if city is not None:
             hit = hit & (F.col("property_city") == city)
-        muni = F.when(hit, F.lit(name)).otherwise(muni)
-    return df.withColumn("muni_desc", muni)
+        df = df.withColumn("muni_desc", F.when(hit, F.lit(name)).otherwise(F.col("muni_desc")))
+    return df
 
 
 def adjust_prices(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,9 @@ from parcelmill.operators.relational import with_group_aggregate
 from parcelmill.runtime import lookup_join, settle
 
 
+SLICE_ROWS = 1_000_000
+
+
 def add_count(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """Group size on each row."""
     return with_group_aggregate(df, keys, **{name: F.count(F.lit(1))})
@@ -57,14 +61,22 @@ def sample_per_group(df: DataFrame, keys: Sequence[str], n: int, row_id: str, se
 
 
 def hash_rank(
-    df: DataFrame, row_id: str, seed: int, keys: Sequence[str] = (), name: str = "rank", digits: int = 3
+    df: DataFrame,
+    row_id: str,
+    seed: int,
+    keys: Sequence[str] = (),
+    name: str = "rank",
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact rank (from 1) of each row in hash order, over the table or within ``keys``.
 
     The hash is even, so its leading hex digits cut the rows into equal slices.
     Slice sizes are counted and summed up first; the ranking itself then runs
-    slice by slice. ``row_id`` must tell the rows apart.
+    slice by slice. ``digits`` is chosen so that a slice has about a million rows
+    at most. ``row_id`` must tell the rows apart.
     """
+    if digits is None:
+        digits = max(2, math.ceil(math.log(max(df.count(), 1) / SLICE_ROWS, 16)))
     hashed = df.withColumn("__h", hash_order(seed, row_id)).withColumn("__slice", F.substring("__h", 1, digits))
     sizes = hashed.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
     # 16 ** digits rows per key.

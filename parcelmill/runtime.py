@@ -127,7 +127,7 @@ def big_join(
     apart to the few right rows of those keys and never shuffled on the key.
     """
     if at_most(right, max_rows):
-        return lookup_join(left, right, on, how, base_table=True, max_rows=max_rows)
+        return _plain_join(left, F.broadcast(right), on, how)
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     hot = settle(counts.where(F.col("__n") > hot_rows).select(*on))
     if hot.isEmpty():
@@ -139,6 +139,7 @@ def big_join(
 
 
 def _plain_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on keys that may be missing on both sides; a broadcast hint on ``right`` stays."""
     renamed = right.withColumnsRenamed({key: f"__key_{key}" for key in on})
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in on])
     return left.join(renamed, match, how).drop(*[f"__key_{k}" for k in on])
