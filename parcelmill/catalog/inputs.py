@@ -142,7 +142,7 @@ BASE_CTES = {
         40.1 + 0.15 * (i // 5) AS y0, -80.5 + 0.2 * (i % 5) + 0.2 AS x1, 40.1 + 0.15 * (i // 5) + 0.15 AS y1
         FROM range(20) t(i)""",
     "spots": """SELECT par_id, geo_id AS nation, school_desc, style_desc, longitude + 0.0001234 AS longitude,
-        latitude + 0.0001234 AS latitude FROM sales""",
+        latitude + 0.0001234 AS latitude, bedrooms FROM sales""",
     "school_layer": _layer_sql("geo_id", "school_district"),
     "council_layer": _layer_sql("style_desc", "council_district"),
     "town_layer": _layer_sql("school_desc", "label"),
@@ -300,6 +300,7 @@ class Inputs:
             "style_desc",
             (F.col("longitude") + 0.0001234).alias("longitude"),
             (F.col("latitude") + 0.0001234).alias("latitude"),
+            "bedrooms",
         )
 
     def layer(self, key: str, name: str) -> DataFrame:

@@ -13,14 +13,14 @@ from pyspark.ml import Estimator, Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelmill.functions.naming import level_suffix
 from parcelmill.functions.numeric import log10_positive
 from parcelmill.operators.aggregates import quantiles
 from parcelmill.operators.relational import longer
-from parcelmill.operators.windows import hash_rank
+from parcelmill.operators.windows import hash_order, hash_rank, slice_digits
 from parcelmill.runtime import lookup_join, settle
 
 # --- splits ------------------------------------------------------------------
@@ -32,26 +32,41 @@ def split(
     """Add ``split``: ``train`` for the first ``prop`` of the rows in hash order, else ``test``.
 
     With ``strata``, the rule holds inside each quantile bin of that numeric column.
+    Only the rows of the one hash slice that holds the border are ranked, to find
+    the last training row; labelling then compares each row with it and moves no row.
     """
-    keys: list[str] = []
-    rows = df
+    bin_of = F.lit(0)
     if strata:
         marks = {f"b{i}": i / bins for i in range(1, bins)}
-        cuts = quantiles(df, [], strata, marks)
-        cuts = cuts.select(F.struct(*marks).alias("cuts")).scalar()
-        above = sum((F.coalesce(F.col(strata) > cuts[name], F.lit(False)).cast("int") for name in marks), F.lit(0))
-        rows = df.withColumn("__stratum", above)
-        keys = ["__stratum"]
-    rows = settle(rows)
-    ranked = hash_rank(rows, row_id, seed, keys, "__rank")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    if keys:
-        ranked = lookup_join(ranked, sizes, keys)
-    else:
-        ranked = ranked.withColumn("__size", sizes.scalar())
-    is_train = F.col("__rank") <= F.floor(F.col("__size") * F.lit(float(prop)))
-    out = ranked.withColumn("split", F.when(is_train, F.lit("train")).otherwise(F.lit("test")))
-    return out.drop("__rank", "__size", "__stratum")
+        cuts = settle(quantiles(df, [], strata, marks)).select(F.struct(*marks).alias("cuts")).scalar()
+        for name in marks:
+            bin_of = bin_of + F.coalesce(F.col(strata) > cuts[name], F.lit(False)).cast("int")
+    text_id = F.col(row_id).cast("string")
+    hashed = df.withColumns({"__bin": bin_of, "__h": hash_order(seed, row_id)})
+    border = _last_training_rows(hashed.select("__bin", "__h", text_id.alias("__id")), prop)
+    joined = lookup_join(hashed, border, ["__bin"], base_table=True)
+    before = (F.col("__h") < F.col("last_h")) | ((F.col("__h") == F.col("last_h")) & (text_id <= F.col("last_id")))
+    label = F.when(before, F.lit("train")).otherwise(F.lit("test"))
+    return joined.withColumn("split", label).drop("__bin", "__h", "last_h", "last_id")
+
+
+def _last_training_rows(hashed: DataFrame, prop: float) -> DataFrame:
+    """(__bin, last_h, last_id): the last row of each bin that still is a training row."""
+    digits = slice_digits(hashed)
+    sliced = hashed.withColumn("__slice", F.substring("__h", 1, digits))
+    sizes = settle(sliced.groupBy("__bin", "__slice").agg(F.count(F.lit(1)).alias("c")))
+    totals = sizes.groupBy("__bin").agg(F.sum("c").alias("total"))
+    # 16 ** digits rows per bin.
+    upto = F.sum("c").over(Window.partitionBy("__bin").orderBy("__slice"))
+    placed = lookup_join(sizes.withColumn("end", upto), totals, ["__bin"]).withColumn(
+        "want", F.floor(F.col("total") * F.lit(float(prop)))
+    )
+    hit = (F.col("end") - F.col("c") < F.col("want")) & (F.col("want") <= F.col("end"))
+    border = placed.where(hit).select("__bin", "__slice", (F.col("want") - F.col("end") + F.col("c")).alias("nth"))
+    rows = lookup_join(sliced, border, ["__bin", "__slice"], "inner")
+    place = F.row_number().over(Window.partitionBy("__bin").orderBy("__h", "__id"))
+    last = rows.withColumn("r", place).where(F.col("r") == F.col("nth"))
+    return settle(last.select("__bin", F.col("__h").alias("last_h"), F.col("__id").alias("last_id")))
 
 
 def folds(df: DataFrame, row_id: str, seed: int, v: int = 10, name: str = "fold") -> DataFrame:

@@ -60,6 +60,11 @@ def sample_per_group(df: DataFrame, keys: Sequence[str], n: int, row_id: str, se
     return ranked.drop("__h", "__slice", "__r")
 
 
+def slice_digits(df: DataFrame) -> int:
+    """Leading hex digits of a hash that cut the rows into slices of at most about a million."""
+    return max(2, math.ceil(math.log(max(df.count(), 1) / SLICE_ROWS, 16)))
+
+
 def hash_rank(
     df: DataFrame,
     row_id: str,
@@ -76,7 +81,7 @@ def hash_rank(
     at most. ``row_id`` must tell the rows apart.
     """
     if digits is None:
-        digits = max(2, math.ceil(math.log(max(df.count(), 1) / SLICE_ROWS, 16)))
+        digits = slice_digits(df)
     hashed = df.withColumn("__h", hash_order(seed, row_id)).withColumn("__slice", F.substring("__h", 1, digits))
     sizes = hashed.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
     # 16 ** digits rows per key.

@@ -11,9 +11,9 @@ from parcelmill.functions import dates, text
 from parcelmill.functions import property_rules as rules
 from parcelmill.operators.aggregates import allow_list, mean_sd
 from parcelmill.operators.geography import assign_areas
-from parcelmill.operators.relational import across, anti_join, bind_rows, clean_names, matching, semi_join
+from parcelmill.operators.relational import across, anti_join, clean_names, matching, semi_join
 from parcelmill.operators.windows import zscore_from
-from parcelmill.runtime import big_join, settle
+from parcelmill.runtime import big_join
 
 # Run-together words in the raw headers and how they are split.
 HEADER_WORDS = [
@@ -114,17 +114,15 @@ def assign_and_repair(
     school_areas: dict[str, str] = rules.AREA_BY_SCHOOL,
     step: float = 0.05,
 ) -> DataFrame:
-    """Area of every sale: from its parcel's point, or by school district where that fails."""
+    """Area of every sale: from its parcel's point, or by school district where that fails.
+
+    A sale without a point meets no area and keeps its row, so one left join finds
+    both kinds of failure and the district rule fills them in place.
+    """
     located = big_join(sales, parcel_points.withColumnRenamed("pin", "par_id"), ["par_id"])
-    has_point = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
-    placed = settle(assign_areas(located.where(has_point), vertices, step))
-    found, missed = placed.where(F.col("geo_id").isNotNull()), placed.where(F.col("geo_id").isNull())
-    # A sale without any point goes to the repair too.
-    pointless = located.where(~has_point)
-    lost = bind_rows(pointless, missed.drop("geo_id"))
-    repaired = lost.withColumn("geo_id", rules.recode(F.col("school_desc"), school_areas))
-    both = bind_rows(found, repaired)
-    return both.drop("longitude", "latitude")
+    placed = assign_areas(located, vertices, step)
+    by_district = rules.recode(F.col("school_desc"), school_areas)
+    return placed.withColumn("geo_id", F.coalesce("geo_id", by_district)).drop("longitude", "latitude")
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:
