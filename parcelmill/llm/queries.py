@@ -13,6 +13,7 @@ from parcelmill.llm import (
     embeddings,
     language,
     licenses,
+    ngram_join,
     packing,
     quality,
     sharding,
@@ -94,6 +95,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("n_near", F.size("spans").cast("long")).drop("spans")
 
 
+@query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
