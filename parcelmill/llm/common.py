@@ -35,3 +35,10 @@ def field(name: str) -> Column:
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a missing id counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name beginning with ``name`` that begins no column of ``df``."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name

@@ -101,8 +101,40 @@ def decontaminate(
     empty text. Repeated documents are judged one by one. Without items, nothing
     is hit. Other columns are not read.
     """
+    found = _find(docs, text, [key], items, item_key, item_text, width, shingle, block_bytes)
+    return found.select(
+        F.col("rest.c0").alias(key), "n_words", "hits", _hit_words(), F.array_sort("items").alias("items")
+    )
+
+
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    width: int = 13,
+    shingle: int = 4,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated; found row by row, so ids don't matter."""
+    others = [c for c in docs.columns if c != text]
+    found = _find(docs, text, others, items, item_key, item_text, width, shingle, block_bytes)
+    place = {c: F.col(f"rest.c{k}").alias(c) for k, c in enumerate(others)}
+    return found.where(~contaminated(_hit_words(), F.col("n_words"))).select(
+        *[F.col("text").alias(text) if c == text else place[c] for c in docs.columns]
+    )
+
+
+def _hit_words() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda n, hit: n + hit["end"] - hit["first"]).alias("n_hit")
+
+
+def _find(docs, text, others, items, item_key, item_text, width, shingle, block_bytes) -> DataFrame:
+    """(rest: the columns ``others`` as c0, c1, ..; text, n_words, hits, items)."""
     found = docs.select(
-        field(key).alias("key"),
+        F.struct(F.lit(0).alias("row"), *[field(c).alias(f"c{k}") for k, c in enumerate(others)]).alias("rest"),
         field(text).alias("text"),
         F.array().cast("array<struct<first:int,end:int>>").alias("hits"),
         F.array().cast("array<string>").alias("items"),
@@ -112,15 +144,9 @@ def decontaminate(
         found = _search(found, ItemIndex(block, width, shingle))
         if nth + 1 < len(blocks):
             found = written(found, "decontaminate")
-    if not blocks:
+    if not len(blocks):
         found = _search(found, ItemIndex([], width, shingle))
-    return found.select(
-        F.col("key").alias(key),
-        "n_words",
-        "hits",
-        F.aggregate("hits", F.lit(0).cast("long"), lambda n, hit: n + hit["end"] - hit["first"]).alias("n_hit"),
-        F.array_sort("items").alias("items"),
-    )
+    return found
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -214,7 +240,7 @@ def _search(found: DataFrame, index: ItemIndex) -> DataFrame:
     prefixes = index.prefixes(_count_shingles(found, index))
     lookups = {size: np.array(sorted(by_shingle), dtype=np.uint64) for size, by_shingle in prefixes.items()}
     shared = found.sparkSession.sparkContext.broadcast((prefixes, lookups))
-    out = T.StructType([f for f in found.schema.fields if f.name in ("key", "text")] + _FOUND.fields)
+    out = T.StructType([f for f in found.schema.fields if f.name in ("rest", "text")] + _FOUND.fields)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes, lookups = shared.value
@@ -240,12 +266,12 @@ def _search(found: DataFrame, index: ItemIndex) -> DataFrame:
                     hits[row] = [{"first": a, "end": b} for a, b in _merged(before + ranges)]
                     items[row] = sorted(names.union(items[row]))
             yield pa.record_batch(
-                [batch.column("key"), batch.column("text"), pa.array(n_words), pa.array(hits, batch.schema.field("hits").type),
+                [batch.column("rest"), batch.column("text"), pa.array(n_words), pa.array(hits, batch.schema.field("hits").type),
                  pa.array(items, batch.schema.field("items").type)],
-                names=["key", "text", "n_words", "hits", "items"],
+                names=["rest", "text", "n_words", "hits", "items"],
             )
 
-    return found.select("key", "text", "hits", "items").mapInArrow(search, out)
+    return found.select("rest", "text", "hits", "items").mapInArrow(search, out)
 
 
 def digest(items: Column) -> Column:

@@ -240,19 +240,12 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(path[::-1])
 
 
-_RESULT = [
-    T.StructField("lang_pred", T.StringType()),
-    T.StructField("lang_score", T.DoubleType()),
-    T.StructField(
-        "lang_spans",
-        T.ArrayType(
-            T.StructType().add("lang", "string").add("first", "integer").add("end", "integer")
-        ),
-    ),
-]
-
-
-def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", switch: float = SWITCH) -> DataFrame:
+_SPANS = T.ArrayType(T.StructType().add("lang", "string").add("first", "integer").add("end", "integer"))
+
+
+def identify(
+    docs: DataFrame, model: LanguageModel, *, text: str = "text", switch: float = SWITCH, into: str = "lang"
+) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred, lang_score and lang_spans.
 
     ``lang_spans`` covers the text from its first to its last letter by ranges
@@ -261,14 +254,15 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", switc
     share of the letters. Texts that are missing or
     without letters are ``und`` with score 0 and no spans; so is every text if
     nothing was learned. Words in a script of no learned language decide
-    nothing. Input columns named like the new ones are an error.
+    nothing. ``into`` begins the names of the new columns; they must not exist.
     """
-    clash = {f.name for f in _RESULT} & set(docs.columns)
+    result = T.StructType().add(f"{into}_pred", "string").add(f"{into}_score", "double").add(f"{into}_spans", _SPANS)
+    clash = {name.lower() for name in result.names} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *_RESULT])
+    schema = T.StructType([*docs.schema.fields, *result.fields])
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

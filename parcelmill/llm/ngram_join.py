@@ -140,6 +140,18 @@ def near_duplicates(
     )
 
 
+def first_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, without those linked to one with a smaller key.
+
+    Rows without a key can't be named by the join and stay; rows of one key stay or go together.
+    """
+    found = near_duplicates(docs, key=key, text=text, **options)
+    gone = written(
+        found.select(field(key).alias("gone"), "component_id").where("gone != component_id").select("gone").distinct(), "gone"
+    )
+    return docs.join(narrow(gone, gone.count()), field(key) == F.col("gone"), "left_anti")
+
+
 def _classes(rows: DataFrame, width: int) -> DataFrame:
     """(key, n, set): the number of shingles and the name of the set, missing where it is empty."""
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType)]).add("n", "long").add("set", "long")

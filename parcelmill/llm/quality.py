@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", into: str
 
     A missing text is scored like an empty one: by the bias. ``into`` must be a new name.
     """
-    if into in docs.columns:
+    if into.lower() in map(str.lower, docs.columns):
         raise ValueError(f"{into} is a column already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
