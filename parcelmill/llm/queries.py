@@ -14,6 +14,7 @@ from parcelmill.llm import (
     language,
     licenses,
     ngram_join,
+    oracles,
     packing,
     quality,
     sharding,
@@ -22,7 +23,13 @@ from parcelmill.llm import (
 from parcelmill.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_snapshots": oracles.CHAT_SNAPSHOTS,
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op9_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op10_embedding_near_dedup": oracles.EMBEDDING_NEAR_DEDUP,
+    "op1_interleaved_shards": oracles.INTERLEAVED_SHARDS,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
