@@ -33,8 +33,8 @@ def maximal_conversations(
     ``n_copies`` counts the conversations with exactly these turns; the smallest
     id stands for them (a missing id only if there is no other).
 
-    Turns are ordered by number (missing first), then role and text, so repeated
-    turn numbers have a fixed order. Rows without a conversation id form one
+    Turns are ordered by number (missing first), then role and the hash of role and
+    text, so repeated turn numbers have a fixed order. Rows without a conversation id form one
     conversation. A missing role is rendered as ``unknown`` and a missing text as
     empty, and they compare as such. Extra columns are not read. An empty table
     gives no rows.
@@ -74,10 +74,10 @@ def maximal_conversations(
     kept = whole.join(proper, "prefix_hash", "left_anti")
     before, between = template.split("{role}", 1)
     between, after = between.split("{text}", 1)
-    rendered = rows.join(kept.withColumnRenamed("conv", "kept_conv"), F.col("conv").eqNullSafe(F.col("kept_conv"))).groupBy(
+    rendered = hashed.join(kept.withColumnRenamed("conv", "kept_conv"), F.col("conv").eqNullSafe(F.col("kept_conv"))).groupBy(
         "conv", "n_turns", "n_copies", "prefix_hash"
     ).agg(
-        F.array_sort(F.collect_list(F.struct("nth", "said_by", "said"))).alias("turns")
+        F.array_sort(F.collect_list(F.struct("nth", "said_by", "hash", "said"))).alias("turns")
     )
     line = lambda one: F.concat(F.lit(before), one["said_by"], F.lit(between), one["said"], F.lit(after))
     return rendered.select(

@@ -9,6 +9,7 @@ space is left out, as the encoder puts one before every text by itself.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,23 +38,19 @@ def tokenizer(path: str):
     return encoder
 
 
+#: A space after another character with text behind it; the encoder takes U+2581 for a space too.
+_CUT = re.compile("(?<=[^ ▁]) (?=.)", re.DOTALL)
+
+
 def safe_parts(text: str, limit: int = PART_CHARS) -> Iterator[str]:
-    """Parts of a text whose token counts add up to that of the text."""
+    """Parts of a text whose token counts add up to that of the text: each ends at the first cut after ``limit`` characters."""
     first = 0
     while len(text) - first > limit:
-        cut = first + limit
-        # The last space before the limit that follows another character, or the first one after it.
-        at = text.rfind(" ", first + 1, cut)
-        while at > first and text[at - 1] == " ":
-            at = text.rfind(" ", first + 1, at)
-        if at <= first:
-            at = text.find(" ", cut)
-            while at > 0 and text[at - 1] == " ":
-                at = text.find(" ", at + 1)
-        if at <= first:
+        cut = _CUT.search(text, first + limit)
+        if not cut:
             break
-        yield text[first:at]
-        first = at + 1
+        yield text[first : cut.start()]
+        first = cut.end()
     yield text[first:]
 
 
