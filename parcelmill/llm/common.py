@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelmill.runtime import scratch_path
 
@@ -42,3 +43,13 @@ def fresh(df: DataFrame, name: str) -> str:
     while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
+
+
+def widened(df: DataFrame, run, extra: T.StructType) -> DataFrame:
+    """``df`` with more columns, computed in Arrow batches by ``run``: it yields the batch's columns and the new ones.
+
+    Inside, columns are named by their place, so names may hold any characters.
+    """
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate([*df.schema.fields, *extra.fields])]
+    plain = df.toDF(*[f.name for f in fields[: len(df.columns)]])
+    return plain.mapInArrow(run, T.StructType(fields)).toDF(*df.columns, *extra.names)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelmill.llm import texts
-from parcelmill.llm.common import crc_fold, field
+from parcelmill.llm.common import crc_fold, field, widened
 
 BITS = 17
 TRAIN_ROWS = 1_000
@@ -262,7 +262,6 @@ def identify(
         raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *result.fields])
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +294,7 @@ def identify(
                             for a, b in zip(cuts, cuts[1:], strict=False)
                         ]
                     )
-            yield pa.record_batch(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span_type)],
-                names=schema.fieldNames(),
-            )
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span_type)]
+            yield pa.record_batch(columns, names=[f"c{k}" for k in range(len(columns))])
 
-    return docs.mapInArrow(run, schema)
+    return widened(docs, run, result)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelmill.llm import texts
-from parcelmill.llm.common import crc_fold, field
+from parcelmill.llm.common import crc_fold, field, widened
 
 BITS = 18
 TRAIN_ROWS = 6_000
@@ -211,7 +211,6 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", into: str
         raise ValueError(f"{into} is a column already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -219,6 +218,7 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", into: str
             scores = np.zeros(batch.num_rows)
             for first, end, raw, offsets in texts.text_slices(batch.column(at)):
                 scores[first:end] = _scores(raw, offsets, model.weights, model.bias, model.bits)
-            yield pa.record_batch([*batch.columns, pa.array(scores)], names=schema.fieldNames())
+            columns = [*batch.columns, pa.array(scores)]
+            yield pa.record_batch(columns, names=[f"c{k}" for k in range(len(columns))])
 
-    return docs.mapInArrow(run, schema)
+    return widened(docs, run, T.StructType().add(into, "double"))
