@@ -19,8 +19,9 @@ matches. How long pays off is decided set by set, by what its candidates cost:
    taken from the rarest shingles on. Lists of a large group are not expanded
    into pairs: each list is compared to one hub first, which joins its group
    with a link for each member; only pairs that are still in different groups
-   follow, less those that the triangle inequality of the Jaccard distance to
-   the hub rules out.
+   follow, less those that can't share enough: at most what both share with the
+   hub and shared shingles outside of it, and at most what stands behind their
+   first common shingle.
 
 Every link between different sets ends in one component, although not every pair
 inside a component is written. Sets are told apart by 64 bits of a digest: for
@@ -46,6 +47,8 @@ WIDTH = 5
 PERCENT = 75
 #: A shingle in so many sets or more is frequent.
 HOT = 32
+#: How often shingles of costly sets are counted again among the sets that are left.
+PRUNINGS = 3
 
 
 def least_overlap(n, percent: int):
@@ -328,55 +331,65 @@ def _verified_candidates(candidates: DataFrame, sets: DataFrame, percent: int) -
 def _costly_links(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """``links`` and what joins pairs of costly sets that share frequent shingles only."""
     costly = sets.where("costly = 1")
-    entries = costly.select("set", "n", F.explode("tokens").alias("token"))
-    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     least = f"({percent} * n + 99) div 100"
-    posted = (
-        entries.join(counts, "token")
-        .groupBy("set", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("shared"))
-        .where(f"size(shared) >= {least}")
-        # The shingles that no other costly set has come first in the order, so the prefix ends after so many shared ones.
-        .select(
-            "set", "n", (F.size("shared") / F.col("n")).alias("share"),
-            F.explode(F.expr(f"slice(shared, 1, cast(size(shared) - {least} + 1 as int))")).alias("one"),
+    entries = costly.select("set", "n", F.explode("tokens").alias("token"))
+    for _ in range(PRUNINGS):
+        # A shingle counts only where another set that is still in question has it too.
+        counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        shared = written(
+            entries.select("set", "n", "token").join(counts, "token")
+            .groupBy("set", "n")
+            .agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("shared"))
+            .where(f"size(shared) >= {least}"),
+            "shared",
         )
-        .select("set", "n", "share", F.col("one.token").alias("token"))
+        entries = shared.select("set", "n", F.explode("shared.token").alias("token"))
+    # The shingles that no other costly set has come first in the order, so the prefix ends after so many shared ones.
+    posted = shared.select(
+        "set", "n", F.size("shared").alias("most"),
+        F.posexplode(F.expr(f"slice(shared.token, 1, cast(size(shared) - {least} + 1 as int))")).alias("at", "token"),
     )
     posted = written(posted, "posted")
-    hubs = posted.groupBy("token").agg(F.max_by("set", F.struct("share", "n", "set")).alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    hubs = posted.groupBy("token").agg(F.max_by("set", F.struct(F.col("most") / F.col("n"), "n", "set")).alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     posted = written(posted.join(hubs.select("token", "hub"), "token"), "posted")
     to_hub = posted.where("set != hub").select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
     tested = written(_tested(to_hub, sets), "tested")
     links = links.unionByName(tested.where(_linked(percent)).select("a", "b"))
     groups = components(links)
-    distance = (F.lit(1.0) - F.col("overlap") / (F.col("a_n") + F.col("b_n") - F.col("overlap"))).alias("distance")
-    known = tested.select(F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("b").alias("hub"), distance), F.struct(F.col("b").alias("set"), F.col("a").alias("hub"), distance))).alias("k")).select("k.*")
+    known = tested.select(
+        F.explode(F.array(F.struct(F.col("a").alias("set"), F.col("b").alias("hub"), "overlap"), F.struct(F.col("b").alias("set"), F.col("a").alias("hub"), "overlap"))).alias("k")
+    ).select("k.*")
     members = (
         posted.join(known, ["set", "hub"], "left")
-        .withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+        .withColumn("inner", F.coalesce("overlap", "n"))  # the hub's own shingles are all its own
         .join(groups.withColumnRenamed("node", "set"), "set", "left")
         .withColumn("label", F.coalesce("component", "set"))
-        .select("token", "set", "n", "label", "distance")
+        .select(
+            "token", "set", "n", (F.col("most") - F.col("at")).alias("left"), "inner",
+            (F.col("most") - F.least("inner", "most")).alias("outer"), "label",
+        )
     )
     members = written(members, "members")
     # In each list the largest group needs no pairs inside it; members of the others are compared to all.
     per_label = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("sets"))
     main = per_label.groupBy("token").agg(F.max_by("label", F.struct("sets", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", "main")
     listed = members.join(main, "token")
-    one, other = (listed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("set", "n", "label", "distance", "main")]) for s in "xy")
-    reach = 1 - percent / 100 + 1e-9
+    one, other = (listed.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("set", "n", "left", "inner", "outer", "label", "main")]) for s in "xy")
     pairs = (
         one.where("x_label != x_main").join(other, "token")
         .where(
             (F.col("x_label") != F.col("y_label"))
             & ((F.col("y_label") == F.col("y_main")) | (F.col("x_set") < F.col("y_set")))
             & _similar_sizes("x_n", "y_n", percent)
-            & (F.abs(F.col("x_distance") - F.col("y_distance")) <= reach)
+            # All they can share is what both share with the hub, and shared shingles outside of it.
+            & F.expr(
+                f"(least(x_inner, y_inner) + least(x_outer, y_outer)) * {100 + percent} >= {percent} * (x_n + y_n)"
+            )
+            # The first shingle they have in common stands early enough in both for the rest to suffice.
+            & F.expr(f"least(x_left, y_left) * {100 + percent} >= {percent} * (x_n + y_n)")
         )
         .select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
+    pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = written(_tested(pairs, sets).where(_linked(percent)).select("a", "b"), "tested")
     return links.unionByName(rest)
