@@ -79,16 +79,19 @@ def density_sql(value: str, key: str, points: int) -> dict:
     last = points - 1
     return {
         "vals": f"SELECT {key} AS k, {value} AS v FROM housing",
-        "stats": f"""SELECT k, min(v) AS lo, max(v) AS hi, count(*) AS n, (max(v) - min(v)) / {last} AS step,
-            0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw
-            FROM vals GROUP BY k""",
+        "ends": """SELECT k, min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) AS sd,
+            (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS robust FROM vals GROUP BY k""",
+        "bands": """SELECT *, 0.9 * CASE WHEN robust > 0 THEN least(sd, robust) WHEN sd > 0 THEN sd WHEN lo <> 0 THEN abs(lo) ELSE 1 END
+            * pow(n, -0.2) AS bw FROM ends""",
+        "stats": f"""SELECT k, n, bw, CASE WHEN lo = hi THEN lo - bw ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + bw ELSE hi END AS hi,
+            (CASE WHEN lo = hi THEN 2 * bw ELSE hi - lo END) / {last} AS step FROM bands""",
         "places": f"""SELECT s.*, (v - lo) / (hi - lo) * {last} AS p,
             least(greatest(floor((v - lo) / (hi - lo) * {last}), 0), {last - 1}) AS i FROM vals JOIN stats s USING (k)""",
         "shares": """SELECT k, lo, hi, n, step, bw, i, 1.0 - (p - i) AS w FROM places
             UNION ALL SELECT k, lo, hi, n, step, bw, i + 1, p - i FROM places""",
         "grid": "SELECT k, lo, n, step, bw, i, sum(w) AS w FROM shares GROUP BY ALL",
         "total": f"""SELECT k, lo, n, step, bw, j, sum(w * exp(-0.5 * pow((j - i) * step / bw, 2))) AS s FROM grid,
-            range({points}) t(j) WHERE abs(j - i) <= ceil(4 * bw / step) GROUP BY ALL""",
+            range({points}) t(j) GROUP BY ALL""",
     }
 
 
@@ -102,7 +105,7 @@ def ds5(t: Inputs):
 
 
 def _axis(v: str) -> str:
-    return f"""min({v}) AS lo_{v}, max({v}) AS hi_{v}, (max({v}) - min({v})) / 39 AS st_{v},
+    return f"""min({v}) AS lo_{v}, max({v}) AS hi_{v}, (max({v}) - min({v})) / 99 AS st_{v},
         1.06 * least(stddev_samp({v}), (quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw_{v}"""
 
 
@@ -112,24 +115,37 @@ def _axis(v: str) -> str:
     round(w / peak, 6) AS ndensity FROM s2, (SELECT max(w) AS peak FROM s2), stats""",
     vals="SELECT finished_living_area AS a, log10(sale_price_adj) AS b FROM housing",
     stats=f"SELECT {_axis('a')}, {_axis('b')} FROM vals",
-    cells="""SELECT floor((a - lo_a) / (hi_a - lo_a) * 39 + 0.5) AS i, floor((b - lo_b) / (hi_b - lo_b) * 39 + 0.5) AS j, count(*) AS w
+    cells="""SELECT floor((a - lo_a) / (hi_a - lo_a) * 99 + 0.5) AS i, floor((b - lo_b) / (hi_b - lo_b) * 99 + 0.5) AS j, count(*) AS w
         FROM vals, stats GROUP BY ALL""",
-    s1="""SELECT x, j, sum(w * exp(-0.5 * pow((x - i) * st_a / bw_a, 2))) AS w FROM cells, stats, range(40) t(x)
-        WHERE abs(x - i) <= ceil(4 * bw_a / st_a) GROUP BY ALL""",
-    s2="""SELECT x, y, sum(w * exp(-0.5 * pow((y - j) * st_b / bw_b, 2))) AS w FROM s1, stats, range(40) t(y)
-        WHERE abs(y - j) <= ceil(4 * bw_b / st_b) GROUP BY ALL""",
+    s1="""SELECT x, j, sum(w * exp(-0.5 * pow((x - i) * st_a / bw_a, 2))) AS w FROM cells, stats, range(100) t(x) GROUP BY ALL""",
+    s2="""SELECT x, y, sum(w * exp(-0.5 * pow((y - j) * st_b / bw_b, 2))) AS w FROM s1, stats, range(100) t(y) GROUP BY ALL""",
 )
 def ds6(t: Inputs):
     table = dist.density_2d(
-        t.kept("finished_living_area", "sale_price_adj"), "finished_living_area", "sale_price_adj", points=40, log10=(False, True)
+        t.kept("finished_living_area", "sale_price_adj"), "finished_living_area", "sale_price_adj", log10=(False, True)
     )
     return rounded(table.drop("band"), 6, "x", "y", "ndensity")
 
 
-@query("DS6_contour_bands")
+def _group_axis(v: str) -> str:
+    return f"""min({v}) AS lo_{v}, max({v}) AS hi_{v}, (max({v}) - min({v})) / 99 AS st_{v},
+        1.06 * least(stddev_samp({v}), (quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw_{v}"""
+
+
+@query(
+    "DS6_contour_bands",
+    """SELECT k AS style_desc, CAST(least(floor(w / peak * 10) + 1, 10) AS BIGINT) AS band, count(*) AS cells
+    FROM s2 JOIN (SELECT k, max(w) AS peak FROM s2 GROUP BY k) USING (k) GROUP BY ALL""",
+    vals="SELECT style_desc AS k, lot_area AS a, sale_price_adj AS b FROM housing",
+    stats=f"SELECT k, {_group_axis('a')}, {_group_axis('b')} FROM vals GROUP BY k",
+    cells="""SELECT k, floor((a - lo_a) / (hi_a - lo_a) * 99 + 0.5) AS i, floor((b - lo_b) / (hi_b - lo_b) * 99 + 0.5) AS j, count(*) AS w
+        FROM vals JOIN stats USING (k) GROUP BY ALL""",
+    s1="""SELECT k, x, j, sum(w * exp(-0.5 * pow((x - i) * st_a / bw_a, 2))) AS w FROM cells JOIN stats USING (k), range(100) t(x) GROUP BY ALL""",
+    s2="""SELECT k, x, y, sum(w * exp(-0.5 * pow((y - j) * st_b / bw_b, 2))) AS w FROM s1 JOIN stats USING (k), range(100) t(y) GROUP BY ALL""",
+)
 def ds6_bands(t: Inputs):
     chosen = t.kept("style_desc", "lot_area", "sale_price_adj")
-    table = dist.density_2d(chosen, "lot_area", "sale_price_adj", ["style_desc"], points=50)
+    table = dist.density_2d(chosen, "lot_area", "sale_price_adj", ["style_desc"])
     return table.groupBy("style_desc", "band").agg(F.count(F.lit(1)).alias("cells"))
 
 

@@ -131,6 +131,43 @@ def md6(t: Inputs):
     return rounded(rounded(scored, 5, "pred"), 2, "pred_dollar")
 
 
+GAPS = {
+    "gaps": """SELECT * REPLACE (CASE WHEN par_id % 7 = 0 THEN NULL ELSE finished_living_area END AS finished_living_area) FROM housing""",
+    "fit_gaps": """SELECT regr_intercept(log10(sale_price_adj), finished_living_area) AS a,
+        regr_slope(log10(sale_price_adj), finished_living_area) AS b FROM gaps""",
+}
+
+
+def with_gaps(rows: DataFrame) -> DataFrame:
+    """A seventh of the rows lacks the predictor."""
+    return rows.withColumn("finished_living_area", F.when(F.col("par_id") % 7 != 0, F.col("finished_living_area")))
+
+
+@query(
+    "MD6_predict_every_row",
+    "SELECT par_id, round(a + b * finished_living_area, 5) AS pred, round(pow(10, a + b * finished_living_area), 2) AS pred_dollar FROM gaps, fit_gaps",
+    **GAPS,
+)
+def md6_gaps(t: Inputs):
+    rows = settle(with_gaps(t.housing("par_id", "sale_price_adj", *AREA)))
+    scored = models.predict(small_fit(rows), rows).select("par_id", "pred", "pred_dollar")
+    return rounded(rounded(scored, 5, "pred"), 2, "pred_dollar")
+
+
+LEVEL_MEANS = """SELECT par_id, round(CASE WHEN h.grade_desc IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN m END, 5) AS pred
+    FROM housing h LEFT JOIN (SELECT grade_desc, avg(log10(sale_price_adj)) AS m FROM housing
+      WHERE grade_desc IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY grade_desc) g ON g.grade_desc = h.grade_desc"""
+
+
+@query("MD6_unknown_levels", LEVEL_MEANS)
+def md6_levels(t: Inputs):
+    """A model of level means, trained on three grades only: other and missing grades get no prediction."""
+    rows = t.kept("par_id", "sale_price_adj", "grade_desc")
+    known = rows.where(F.col("grade_desc").isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
+    fitted = models.fit(known, models.linear(), [rec.DummyCoder(["grade_desc"], {}), rec.DesignVector([])])
+    return rounded(models.predict(fitted, rows).select("par_id", "pred"), 5, "pred")
+
+
 def bounded(t: Inputs) -> DataFrame:
     housing = t.kept("par_id", "sale_price_adj", *AREA)
     return modelling.score_with_bounds(small_fit(housing), housing, housing, names=AREA)

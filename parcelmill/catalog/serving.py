@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelmill.catalog.aggregation import in_list
+from parcelmill.catalog.charts import density_sql
 from parcelmill.catalog.inputs import Inputs, rounded
 from parcelmill.catalog.pricing import AREA, FIT1, small_fit
 from parcelmill.catalog.registry import query
 from parcelmill.functions.property_rules import CONDITION_ORDER, GRADE_ORDER
-from parcelmill.operators.distribution import density, heatmap, histogram
+from parcelmill.operators.distribution import heatmap, histogram
 from parcelmill.operators.models import predict
 from parcelmill.plans import serving
 from parcelmill.runtime import scratch_path, settle
@@ -130,9 +131,51 @@ def sv6_grid(t: Inputs):
     return heatmap(t.housing(), "bedrooms", "fullbaths", ["geo_id"])
 
 
-@query("SV6_living_area_density")
+@query(
+    "SV6_bathroom_grid",
+    """SELECT r.request_id, a.fullbaths, b.halfbaths, coalesce(n, 0) AS n FROM requests r
+    JOIN (SELECT DISTINCT geo_id, style_desc, fullbaths FROM housing) a ON a.geo_id = r.geo_id AND a.style_desc = r.style_desc
+    JOIN (SELECT DISTINCT geo_id, style_desc, halfbaths FROM housing) b ON b.geo_id = r.geo_id AND b.style_desc = r.style_desc
+    LEFT JOIN (SELECT geo_id, style_desc, fullbaths, halfbaths, count(*) AS n FROM housing GROUP BY ALL) c
+    ON c.geo_id = r.geo_id AND c.style_desc = r.style_desc AND c.fullbaths IS NOT DISTINCT FROM a.fullbaths
+    AND c.halfbaths IS NOT DISTINCT FROM b.halfbaths""",
+)
+def sv6_baths(t: Inputs):
+    return serving.bath_grid(t.housing(), t.requests()).select("request_id", "fullbaths", "halfbaths", "n")
+
+
+# The id of a request is made of what its comparables have in common.
+COMPARABLE = "geo_id || '|' || style_desc"
+DENSITY = """SELECT k AS request_id, j AS point, round(lo + j * step, 6) AS x, round(s / (n * bw * sqrt(2 * pi())), 9) AS density
+    FROM total WHERE k IN (SELECT request_id FROM requests)"""
+
+
+def _density(t: Inputs, column: str):
+    table = serving.feature_density(t.housing(), t.requests(), column).select("request_id", "point", "x", "density")
+    return rounded(rounded(table, 6, "x"), 9, "density")
+
+
+@query("SV6_living_area_density", DENSITY, **density_sql("finished_living_area", COMPARABLE, 512))
 def sv6_density(t: Inputs):
-    return density(t.housing(), "finished_living_area", ["geo_id", "style_desc"], points=64)
+    return _density(t, "finished_living_area")
+
+
+@query("SV6_lot_area_density", DENSITY, **density_sql("lot_area", COMPARABLE, 512))
+def sv6_lots(t: Inputs):
+    return _density(t, "lot_area")
+
+
+@query(
+    "SV6_year_built_of_comparables",
+    """SELECT r.request_id, g.bin, g.bin * 5.0::DOUBLE AS center, 5.0::DOUBLE AS width, coalesce(n, 0) AS n FROM requests r
+    JOIN grid g ON g.geo_id = r.geo_id AND g.style_desc = r.style_desc
+    LEFT JOIN slots s ON s.geo_id = g.geo_id AND s.style_desc = g.style_desc AND s.bin = g.bin""",
+    slots="SELECT geo_id, style_desc, CAST(ceil(year_blt / 5.0::DOUBLE - 0.5) AS BIGINT) AS bin, count(*) AS n FROM housing GROUP BY ALL",
+    grid="SELECT geo_id, style_desc, unnest(range(min(bin), max(bin) + 1)) AS bin FROM slots GROUP BY geo_id, style_desc",
+)
+def sv6_years_of_comparables(t: Inputs):
+    table = serving.feature_histogram(t.housing(), t.requests(), "year_blt", 5)
+    return table.select("request_id", "bin", "center", "width", "n")
 
 
 @query(

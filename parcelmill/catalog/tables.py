@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from parcelmill.catalog.inputs import GRADES, Inputs, rounded
@@ -12,7 +11,7 @@ from parcelmill.operators import geography as geo
 from parcelmill.operators import models
 from parcelmill.operators import relational as rel
 from parcelmill.operators.aggregates import count_by, quantiles
-from parcelmill.operators.recipe import GRADE_GROUPS, DesignVector, with_label
+from parcelmill.operators.recipe import GRADE_GROUPS, DesignVector
 from parcelmill.operators.windows import keep_frequent
 from parcelmill.plans import cleaning
 from parcelmill.runtime import big_join, lookup_join, scratch_path
@@ -100,7 +99,7 @@ def io7(t: Inputs):
 
 @query("IO8_schema_preview")
 def io8(t: Inputs):
-    return io.preview(t.housing())
+    return io.preview(t.housing().orderBy("par_id"))
 
 
 @query("IO9_published_view", "SELECT geo_id, count(*) AS n FROM housing GROUP BY geo_id")
@@ -386,6 +385,5 @@ def j9(t: Inputs):
 )
 def j10(t: Inputs):
     housing = t.kept()
-    rows = with_label(housing)
-    fitted: PipelineModel = Pipeline(stages=[DesignVector(["finished_living_area"]), models.linear()]).fit(rows)
-    return rounded(fitted.transform(housing).drop("features"), 4, "pred")
+    fitted = models.fit(housing, models.linear(), [DesignVector(["finished_living_area"])])
+    return rounded(models.predict(fitted, housing).drop("features", "pred_dollar"), 4, "pred")

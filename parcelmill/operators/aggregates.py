@@ -13,7 +13,7 @@ from parcelmill.runtime import lookup_join, settle
 
 # A group up to this size may be held by one task; a larger one is narrowed down first.
 GROUP_ROWS = 1_000_000
-SLICES = 1024
+SLICES = 512
 
 
 def count_by(df: DataFrame, *keys: str, sort: bool = False, name: str = "n") -> DataFrame:
@@ -40,8 +40,8 @@ def quantiles(
 
     The group sizes are counted first. While no group is larger than
     ``max_group_rows`` the built-in aggregate does the work. Larger groups are
-    narrowed down instead: each pass counts values in slices of the range that
-    still holds a wanted rank, so no task ever holds such a group.
+    narrowed down instead: each pass leaves under a hundredth of the values around
+    a wanted rank, so few passes are needed and no task ever holds such a group.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v"))
@@ -88,6 +88,13 @@ def _narrowed_quantiles(
             F.lit(0).cast("long").alias("before"),
             F.col("n").alias("inside"),
         )
+        # The first and the last value are known already.
+        .withColumns(
+            {
+                "hi": F.when(F.col("rank") == 0, F.col("lo")).otherwise(F.col("hi")),
+                "lo": F.when((F.col("rank") == F.col("inside") - 1) & (F.col("rank") > 0), F.col("hi")).otherwise(F.col("lo")),
+            }
+        )
     )
     found = []
     small_enough = (F.col("inside") <= max_group_rows) | (F.col("lo") == F.col("hi"))
@@ -102,25 +109,65 @@ def _narrowed_quantiles(
     return _interpolate(bounds, picked, keys, probs)
 
 
-def _in_range(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+def _in_range(values: DataFrame, targets: DataFrame, keys: list[str], low: str = "lo", high: str = "hi") -> DataFrame:
     joined = lookup_join(values, targets, keys, "inner", base_table=True)
-    return joined.where(F.col("__v").between(F.col("lo"), F.col("hi")))
+    return joined.where(F.col("__v").between(F.col(low), F.col(high)))
 
 
 def _narrow_once(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    share = F.try_divide(F.col("__v") - F.col("lo"), F.col("hi") - F.col("lo"))
-    slot = F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
-    counts = (
-        _in_range(values, targets, keys)
-        .groupBy(*keys, "rank", "before", slot.alias("slot"))
-        .agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count("__v").alias("inside"))
+    """Close in on each rank between two values that a sketch puts just below and above it.
+
+    Only the order of values matters, not their distances, so every pass leaves a
+    small fixed share of the values: at most three of ``SLICES`` parts and the error
+    of the sketch. Values equal to a border are settled at once, so ties cannot keep
+    a range large.
+    """
+    cuts = F.array(*[F.lit(k / SLICES) for k in range(SLICES + 1)])
+    target = [*keys, "rank", "before", "inside"]
+    inside = _in_range(values, targets, keys)
+    sketched = inside.groupBy(*target).agg(F.percentile_approx("__v", cuts, 10_000).alias("cuts"))
+    slot = F.floor((F.col("rank") - F.col("before")) / F.col("inside") * SLICES).cast("int")
+    borders = sketched.select(
+        *target,
+        F.col("cuts")[F.greatest(slot - 1, F.lit(0))].alias("lo"),
+        F.col("cuts")[F.least(slot + 2, F.lit(SLICES))].alias("hi"),
     )
-    # At most SLICES rows per target.
-    upto = Window.partitionBy(*keys, "rank").orderBy("slot")
-    reached = F.col("before") + F.sum("inside").over(upto)
-    placed = counts.withColumn("end", reached).withColumn("before", F.col("end") - F.col("inside"))
-    hit = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("end"))
-    return placed.where(hit).select(*keys, "rank", "lo", "hi", "before", "inside")
+    borders = settle(borders)
+    x = F.col("__v")
+    between = (x > F.col("lo")) & (x < F.col("hi"))
+    # The border and what lies below it in the present range is counted with it.
+    counted = (
+        _in_range(values, targets.select(*keys, "rank", F.col("lo").alias("from"), F.col("hi").alias("to")), keys, "from", "to")
+        .join(borders.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("rank").alias("__b_rank"), "before", "lo", "hi"),
+              _same([*keys, "rank"]))
+        .groupBy(*keys, "rank", "before", "lo", "hi")
+        .agg(
+            F.count(F.when(x < F.col("lo"), 1)).alias("below"),
+            F.count(F.when(x == F.col("lo"), 1)).alias("at_lo"),
+            F.count(F.when(between, 1)).alias("mid"),
+            F.min(F.when(between, x)).alias("mid_lo"),
+            F.max(F.when(between, x)).alias("mid_hi"),
+        )
+    )
+    from_lo = F.col("before") + F.col("below")
+    from_mid = from_lo + F.col("at_lo")
+    from_hi = from_mid + F.col("mid")
+    low, middle = F.col("rank") < from_mid, F.col("rank") < from_hi
+    return counted.select(
+        *keys,
+        "rank",
+        F.when(low, F.col("lo")).when(middle, F.col("mid_lo")).otherwise(F.col("hi")).alias("lo"),
+        F.when(low, F.col("lo")).when(middle, F.col("mid_hi")).otherwise(F.col("hi")).alias("hi"),
+        F.when(low, from_lo).when(middle, from_mid).otherwise(from_hi).alias("before"),
+        F.when(low, F.col("at_lo")).when(middle, F.col("mid")).otherwise(F.lit(1)).cast("long").alias("inside"),
+    )
+
+
+def _same(keys: list[str]) -> Column:
+    match = F.lit(True)
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"__b_{key}"))
+    return match
 
 
 def _pick(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

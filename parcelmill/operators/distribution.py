@@ -18,8 +18,6 @@ from parcelmill.operators.factors import level_order
 from parcelmill.operators.relational import complete_counts
 from parcelmill.runtime import lookup_join, settle
 
-REACH = 4.0  # kernel half width in standard deviations
-
 
 def _scaled(df: DataFrame, column: str, log10: bool) -> DataFrame:
     """A log axis transforms the data first, so rows without a logarithm drop out."""
@@ -119,7 +117,11 @@ def tallest_bin(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _bandwidth(data: DataFrame, keys: Sequence[str], factor: float) -> DataFrame:
-    """factor * min(sd, IQR / 1.34) * n^(-1/5) next to the group's range and size."""
+    """factor * min(sd, IQR / 1.34) * n^(-1/5) next to the group's range and size.
+
+    Without spread the size of the first value stands in, and 1 if that is 0.
+    A group of equal values gets a range of a bandwidth on both sides.
+    """
     moments = data.groupBy(*keys).agg(
         F.min("__x").alias("__lo"),
         F.max("__x").alias("__hi"),
@@ -128,9 +130,11 @@ def _bandwidth(data: DataFrame, keys: Sequence[str], factor: float) -> DataFrame
     )
     stats = _attach(moments, iqr(data, keys, "__x", "__iqr"), keys)
     robust = F.col("__iqr") / 1.34
-    width = F.when(robust > 0, F.least("__sd", robust)).otherwise(F.col("__sd"))
-    band = F.lit(factor) * width * F.pow(F.col("__n").cast("double"), F.lit(-0.2))
-    return stats.select(*keys, "__lo", "__hi", "__n", F.when(band > 0, band).alias("__bw"))
+    size = F.when(F.abs("__lo") > 0, F.abs("__lo")).otherwise(F.lit(1.0))
+    width = F.when(robust > 0, F.least("__sd", robust)).when(F.col("__sd") > 0, F.col("__sd")).otherwise(size)
+    sized = stats.withColumn("__bw", F.lit(factor) * width * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
+    flat = F.when(F.col("__lo") == F.col("__hi"), F.col("__bw")).otherwise(F.lit(0.0))
+    return sized.select(*keys, (F.col("__lo") - flat).alias("__lo"), (F.col("__hi") + flat).alias("__hi"), "__n", "__bw")
 
 
 def _split_weight(position: Column, last: int) -> Column:
@@ -153,23 +157,17 @@ def density(
     """
     keys = list(keys)
     data = _scaled(df.select(*keys, column), column, log10)
-    stats = settle(_bandwidth(data, keys, 0.9)).where(F.col("__bw").isNotNull() & (F.col("__hi") > F.col("__lo")))
+    stats = settle(_bandwidth(data, keys, 0.9))
     sized = _attach(data, stats, keys)
     last = points - 1
     place = (F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * last
     carried = [*keys, "__lo", "__hi", "__n", "__bw"]
-    shares = sized.where(F.col("__bw").isNotNull()).select(
+    shares = sized.select(
         *carried, F.explode(_split_weight(place, last)).alias("s")
     )
     grid = shares.groupBy(*carried, F.col("s.i").alias("i")).agg(F.sum("s.w").alias("w"))
     step = (F.col("__hi") - F.col("__lo")) / last
-    reach = F.ceil(F.lit(REACH) * F.col("__bw") / step).cast("int")
-    spread = grid.select(
-        "*",
-        F.explode(
-            F.sequence(F.greatest(F.col("i") - reach, F.lit(0)), F.least(F.col("i") + reach, F.lit(last)))
-        ).alias("j"),
-    )
+    spread = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("j"))
     offset = (F.col("j") - F.col("i")) * step / F.col("__bw")
     kernel = F.col("w") * F.exp(-0.5 * offset * offset)
     total = spread.groupBy(*carried, "j").agg(F.sum(kernel).alias("k"))
@@ -216,19 +214,14 @@ def density_2d(
         return F.floor((F.col(name) - F.col(f"{name}_lo")) / span * last + 0.5).cast("int")
 
     carried = [*keys, *[c for c in stats.columns if c not in keys]]
-    usable = F.col("__a_bw").isNotNull() & F.col("__b_bw").isNotNull()
-    grid = sized.where(usable).groupBy(*carried, cell("__a").alias("i"), cell("__b").alias("j")).agg(
+    grid = sized.groupBy(*carried, cell("__a").alias("i"), cell("__b").alias("j")).agg(
         F.count(F.lit(1)).cast("double").alias("w")
     )
 
     def smooth(cells: DataFrame, axis: str, name: str) -> DataFrame:
         step = (F.col(f"{name}_hi") - F.col(f"{name}_lo")) / last
-        reach = F.ceil(F.lit(REACH) * F.col(f"{name}_bw") / step).cast("int")
         other = "j" if axis == "i" else "i"
-        near = F.sequence(
-            F.greatest(F.col(axis) - reach, F.lit(0)), F.least(F.col(axis) + reach, F.lit(last))
-        )
-        spread = cells.select(*carried, axis, other, "w", F.explode(near).alias("t"))
+        spread = cells.select(*carried, axis, other, "w", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("t"))
         offset = (F.col("t") - F.col(axis)) * step / F.col(f"{name}_bw")
         summed = F.sum(F.col("w") * F.exp(-0.5 * offset * offset)).alias("w")
         return spread.groupBy(*carried, F.col("t").alias(axis), other).agg(summed)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from parcelmill.operators.relational import bind_rows, exactly_one
 from parcelmill.functions.text import squish
-from parcelmill.runtime import BROADCAST_ROWS, SALTS, at_most, lookup_join, settle
+from parcelmill.runtime import BROADCAST_ROWS, fits, lookup_join, settle
 
 EARTH_RADIUS_M = 6_371_008.8
 
@@ -143,7 +143,6 @@ def assign_areas(
     lat: str = "latitude",
     how: str = "left",
     max_cells: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Spatial join: each point with every area that contains it.
 
@@ -164,13 +163,8 @@ def assign_areas(
     hits = F.size(F.filter("edges", lambda e: _crosses(e, F.col(lng), F.col(lat))))
     match = (F.col("__cx") == F.col("__ix")) & (F.col("__cy") == F.col("__iy")) & (hits % 2 == 1)
     helpers = ["__cx", "__cy", "__ix", "__iy", "edges"]
-    if at_most(index, max_cells):
+    if fits(index.withColumn("edges", F.to_json("edges")), max_cells):
         index = F.broadcast(index)
-    else:
-        spots = spots.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        index = index.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        match = match & (F.col("__salt") == F.col("__slot"))
-        helpers += ["__salt", "__slot"]
     joined = spots.join(index, match, how).drop(*helpers)
     return joined.drop("geo_id").withColumnRenamed("__area", "geo_id")
 

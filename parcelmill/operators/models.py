@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -21,6 +21,10 @@ from parcelmill.operators.relational import bind_rows
 from parcelmill.runtime import settle
 
 
+#: The deepest trees that Spark grows, and the cut points it tries for a number.
+DEPTH, BINS = 30, 64
+
+
 def linear(label: str = "label") -> LinearRegression:
     """Least squares by the normal equations: one pass over the rows."""
     return LinearRegression(
@@ -29,21 +33,21 @@ def linear(label: str = "label") -> LinearRegression:
     )
 
 
-def forest(label: str = "label", trees: int = 500, depth: int = 12, seed: int = 1234) -> RandomForestRegressor:
+def forest(label: str = "label", trees: int = 500, depth: int = DEPTH, seed: int = 1234) -> RandomForestRegressor:
     """Random forest, a square-root share of the features at each split, leaves of five rows."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol="pred", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="sqrt", minInstancesPerNode=5, seed=seed,
+        featureSubsetStrategy="sqrt", minInstancesPerNode=5, maxBins=BINS, seed=seed,
     )
 
 
 def bagged_trees(
-    label: str = "label", trees: int = 25, depth: int = 12, min_leaf: int = 8, seed: int = 1234
+    label: str = "label", trees: int = 25, depth: int = DEPTH, min_leaf: int = 8, seed: int = 1234
 ) -> RandomForestRegressor:
     """Trees on bootstrap samples that see every feature at every split."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, predictionCol="pred", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="all", minInstancesPerNode=min_leaf, seed=seed,
+        featureSubsetStrategy="all", minInstancesPerNode=min_leaf, maxBins=BINS, seed=seed,
     )
 
 
@@ -51,15 +55,30 @@ def fit(train: DataFrame, model: Estimator, stages: list | None = None, outcome:
     """Recipe and model learnt on the given rows; rows without a usable outcome are left out."""
     stages = recipe_stages(Roles(outcome=outcome)) if stages is None else stages
     rows = with_label(train, outcome).where(F.col("label").isNotNull())
-    return Pipeline(stages=[*stages, model]).fit(rows)
+    prepared = Pipeline(stages=stages).fit(rows)
+    usable = prepared.transform(rows).where(F.col("features").isNotNull())
+    return PipelineModel([*prepared.stages, model.fit(usable)])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Inputs with ``pred`` (log10) and ``pred_dollar``; the outcome is not needed."""
-    scored = model.transform(df)
+    """Every input row with ``pred`` (log10) and ``pred_dollar``; the outcome is not needed.
+
+    Both are missing where a predictor is missing or has an unknown level.
+    """
+    prepared = PipelineModel(model.stages[:-1]).transform(df)
+    scored = _filled(model.stages[-1], prepared, lambda rows: model.stages[-1].transform(rows), ["pred"])
     return scored.withColumn("pred_dollar", from_log10(F.col("pred")))
 
 
+def _filled(last, prepared: DataFrame, score: Callable[[DataFrame], DataFrame], outputs: list[str]) -> DataFrame:
+    """Score rows without features on a vector of zeros and take the outcome away again."""
+    zeros = array_to_vector(F.array_repeat(F.lit(0.0), last.numFeatures))
+    whole = prepared.withColumn("__known", F.col("features").isNotNull()).withColumn("features", F.coalesce("features", zeros))
+    scored = score(whole)
+    known = F.col("__known")
+    return scored.withColumns({c: F.when(known, F.col(c)) for c in [*outputs, "features"]}).drop("__known")
+
+
 def resample(
     df: DataFrame,
     model: Callable[[], Estimator],
@@ -163,11 +182,14 @@ def with_bounds(df: DataFrame, fitted: LinearFit, level: float = 0.95, features:
 
     @F.pandas_udf("double")
     def half_width(x: pd.Series) -> pd.Series:
-        values = np.array(x.to_list(), dtype=float) - center
+        values = np.array(x.to_list(), dtype=float).reshape(len(x), len(center)) - center
         rows = np.column_stack([np.ones(len(values)), values])
         return pd.Series(quantile * np.sqrt(((rows @ root) ** 2).sum(axis=1)))
 
-    half = half_width(vector_to_array(features))
+    # A row without features has no bounds.
+    known = F.col(features).isNotNull()
+    size = F.array_repeat(F.lit(0.0), len(center))
+    half = F.when(known, half_width(vector_to_array(F.coalesce(features, array_to_vector(size)))))
     bounded = df.withColumn("__half", half).withColumns(
         {"pred_lower": F.col("pred") - F.col("__half"), "pred_upper": F.col("pred") + F.col("__half")}
     )
@@ -181,16 +203,19 @@ def with_bounds(df: DataFrame, fitted: LinearFit, level: float = 0.95, features:
 
 def tree_bounds(model: PipelineModel, df: DataFrame, level: float = 0.95) -> DataFrame:
     """Bounds of a tree ensemble: mean of the trees plus and minus z * sd / sqrt(trees)."""
-    trees = model.stages[-1].trees
-    scored = PipelineModel(model.stages[:-1]).transform(df)
-    names = []
-    for k, tree in enumerate(trees):
-        names.append(f"__tree_{k}")
-        scored = tree.setPredictionCol(names[-1]).setFeaturesCol("features").transform(scored)
-    votes = F.array(*names)
-    mean = F.aggregate(votes, F.lit(0.0), lambda a, b: a + b) / len(names)
+    last = model.stages[-1]
+    names = [f"__tree_{k}" for k in range(len(last.trees))]
+
+    def votes_of(rows: DataFrame) -> DataFrame:
+        for name, tree in zip(names, last.trees):
+            rows = tree.setPredictionCol(name).setFeaturesCol("features").transform(rows)
+        return rows.withColumn("__votes", F.array(*names)).drop(*names)
+
+    scored = _filled(last, PipelineModel(model.stages[:-1]).transform(df), votes_of, ["__votes"])
+    votes, n = F.col("__votes"), len(names)
+    mean = F.aggregate(votes, F.lit(0.0), lambda a, b: a + b) / n
     square = F.aggregate(votes, F.lit(0.0), lambda a, b: a + (b - F.col("pred")) * (b - F.col("pred")))
-    spread = F.sqrt(square / max(len(names) - 1, 1)) / float(np.sqrt(len(names)))
+    spread = F.sqrt(square / max(n - 1, 1)) / float(np.sqrt(n))
     z = normal_quantile(0.5 + level / 2)
     out = scored.withColumn("pred", mean).withColumn("__se", spread)
     return out.withColumns(
@@ -198,7 +223,7 @@ def tree_bounds(model: PipelineModel, df: DataFrame, level: float = 0.95) -> Dat
             "pred_lower": F.col("pred") - z * F.col("__se"),
             "pred_upper": F.col("pred") + z * F.col("__se"),
         }
-    ).drop("__se", *names)
+    ).drop("__se", "__votes")
 
 
 def residuals(df: DataFrame, outcome: str = "sale_price_adj") -> DataFrame:

@@ -244,13 +244,17 @@ class RareLevels(Estimator, _Stage):
     def _fit(self, df: DataFrame) -> PoolRare:
         thresholds = self._value("thresholds")
         kept = {name: [] for name in thresholds}
+        # At most 1 / share, or rows / count, levels of a column can be kept.
         for row in kept_levels(df, thresholds).collect():
             kept[row["name"]].append(row["level"])
         return PoolRare({n: sorted(v) for n, v in kept.items()}, self._value("other"))
 
 
 class DummyColumns(Transformer, _Stage):
-    """One 0/1 column ``column_Level.Name`` per level except the reference level."""
+    """One 0/1 column ``column_Level.Name`` per level except the reference level.
+
+    All of them are missing where the value is missing or was not seen in training.
+    """
 
     levels = _param("levels")
 
@@ -263,7 +267,7 @@ class DummyColumns(Transformer, _Stage):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         columns = [
-            F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)).alias(
+            F.when(F.col(c).isin(*found), (F.col(c) == v).cast("double")).alias(
                 f"{c}_{level_suffix(v)}", metadata={"dummy_of": c}
             )
             for c, found in self._value("levels").items()
@@ -273,25 +277,19 @@ class DummyColumns(Transformer, _Stage):
 
 
 class DummyCoder(Estimator, _Stage):
-    """Learn levels: the reference level first (if it occurs), the rest in alphabetical order.
-
-    The level count is a model size, so it is limited by what one solver can take.
-    """
+    """Learn levels: the reference level first (if it occurs), the rest in alphabetical order."""
 
     columns = _param("columns", TypeConverters.toListString)
     references = _param("references")
-    max_levels = _param("max_levels", TypeConverters.toInt)
 
-    def __init__(self, columns=None, references=None, max_levels: int = 4000):
+    def __init__(self, columns=None, references=None):
         super().__init__()
-        self._settings(columns=columns, references=references, max_levels=max_levels)
+        self._settings(columns=columns, references=references)
 
     def _fit(self, df: DataFrame) -> DummyColumns:
-        columns, limit = self._value("columns"), self._value("max_levels")
+        columns = self._value("columns")
         found = longer(df, [], columns, "name", "level", "string").where(F.col("level").isNotNull())
-        rows = found.distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"more than {limit} levels: pool rare ones first")
+        rows = found.distinct().collect()  # as many as the model will have coefficients
         references = self._value("references") or {}
         levels = {}
         for name in columns:
@@ -304,7 +302,8 @@ class DummyCoder(Estimator, _Stage):
 class DesignVector(Transformer, _Stage):
     """Numeric columns and all dummies of the coder before it as one ``features`` vector.
 
-    Rows with a missing numeric predictor cannot be used by a model and are left out.
+    Every row stays. ``features`` is missing where a number is missing or a
+    category is missing or unknown; such rows can't be used in a fit and get no prediction.
     """
 
     numeric = _param("numeric", TypeConverters.toListString)
@@ -316,9 +315,11 @@ class DesignVector(Transformer, _Stage):
     def _transform(self, df: DataFrame) -> DataFrame:
         numeric = self._value("numeric")
         dummies = [f.name for f in df.schema.fields if "dummy_of" in f.metadata]
-        usable = df.dropna(subset=numeric)
         parts = [F.col(f"`{c}`").cast("double") for c in [*numeric, *dummies]]
-        return usable.withColumn("features", array_to_vector(F.array(*parts))).drop(*[F.col(f"`{c}`") for c in dummies])
+        whole = F.forall(F.array(*parts), lambda x: x.isNotNull())
+        # The conversion must not meet a missing entry, whichever branch is worked out first.
+        vector = array_to_vector(F.transform(F.array(*parts), lambda x: F.coalesce(x, F.lit(0.0))))
+        return df.withColumn("features", F.when(whole, vector)).drop(*[F.col(f"`{c}`") for c in dummies])
 
 
 # --- the statistics the stages learn -----------------------------------------
@@ -360,7 +361,12 @@ def kept_levels(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     for name, threshold in thresholds.items():
         needed = F.lit(float(threshold)) if threshold >= 1 else F.col("total") * F.lit(float(threshold))
         least = F.when(F.col("name") == name, needed).otherwise(least)
-    return joined.where(F.col("n") >= least).select("name", "level", "n")
+    # Where no level is frequent enough, the most frequent one is kept.
+    top = counts.groupBy("name").agg(F.max_by("level", F.struct("n", F.col("level"))).alias("top"), F.max("n").alias("top_n"))
+    rated = lookup_join(joined, top, ["name"])
+    return rated.where((F.col("n") >= least) | ((F.col("top_n") < least) & (F.col("level") == F.col("top")))).select(
+        "name", "level", "n"
+    )
 
 
 # --- the recipe --------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parcelmill.functions import text
 from parcelmill.functions.property_rules import CONDITION_ORDER, GRADE_ORDER
 from parcelmill.operators.aggregates import count_by, quantiles
-from parcelmill.operators.distribution import heatmap, iqr_histogram
+from parcelmill.operators.distribution import density, heatmap, histogram, iqr_histogram
 from parcelmill.operators.factors import lump_top
 from parcelmill.operators.models import predict
 from parcelmill.operators.relational import bind_rows, longer
@@ -98,6 +98,21 @@ def feature_quartiles(sales: DataFrame, requests: DataFrame, columns: Sequence[s
     return for_requests(quantiles(rows, [*MATCH, "feature"], "value", marks), requests)
 
 
+def bath_grid(sales: DataFrame, requests: DataFrame) -> DataFrame:
+    """Comparables by full and half baths, zeros included, for each request."""
+    return for_requests(heatmap(wanted_sales(sales, requests), "fullbaths", "halfbaths", MATCH), requests)
+
+
+def feature_density(sales: DataFrame, requests: DataFrame, column: str, points: int = 512) -> DataFrame:
+    """Density of a wide-domain feature (areas) among the comparables of each request."""
+    return for_requests(density(wanted_sales(sales, requests), column, MATCH, points), requests)
+
+
+def feature_histogram(sales: DataFrame, requests: DataFrame, column: str, width: float) -> DataFrame:
+    """Counts in bins of a feature (year built) among the comparables of each request."""
+    return for_requests(histogram(wanted_sales(sales, requests), column, MATCH, width=width), requests)
+
+
 # Labels and order of the request summary.
 SUMMARY_LINES = [
     ("Area:", "geo_id", "text"),

@@ -4,7 +4,7 @@ Three rules hold everywhere in the package:
 
 * group statistics are pre-aggregated and joined back, never computed by a
   window over raw rows, so one key with a third of the table is not one task;
-* a side is broadcast only after its row count was checked;
+* a side is broadcast only after its rows and bytes were checked;
 * lineage is cut with ``checkpoint()`` into the folder named by
   ``spark.checkpoint.dir``, so a lost executor never loses a step.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-SALTS = 16
+BROADCAST_BYTES = 32 << 20
 
 
 def session(app: str = "parcelmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,6 +72,20 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most so many rows and, written as text, at most so many bytes."""
+    if rows <= 0 or not df.columns:
+        return False
+    text = F.to_json(F.struct(*[quoted(c).cast("string").alias(f"c{k}") for k, c in enumerate(df.columns)]))
+    n, length = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    return n <= rows and (length or 0) <= size
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def key_pairs(on) -> list[tuple[str, str]]:
     return [(key, key) if isinstance(key, str) else tuple(key) for key in on]
 
@@ -84,62 +98,26 @@ def lookup_join(
     *,
     base_table: bool = False,
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join rows to a per-key table; a missing key matches a missing key.
 
-    ``small`` is computed once and counted. Up to ``max_rows`` rows it is
-    broadcast and ``big`` is not shuffled at all. Beyond that both sides are
-    shuffled on the key plus a salt, so that a hot key is spread over ``salts``
-    tasks. ``base_table=True`` counts a stored table without copying it.
+    ``small`` is computed once and measured in rows and bytes. If it fits it is
+    broadcast and ``big`` is not shuffled at all. If not, both sides are shuffled
+    on the key, and adaptive execution splits keys that hold too many rows of
+    ``big``. ``base_table=True`` measures a stored table without copying it.
     """
     pairs = key_pairs(on)
-    right = small.withColumnsRenamed({r: f"__key_{r}" for _, r in pairs})
+    right = small.withColumnsRenamed({r: f"__key_{k}" for k, (_, r) in enumerate(pairs)})
     if not base_table:
         right = settle(right)
     match: Column = reduce(
-        lambda a, b: a & b, [F.col(left).eqNullSafe(F.col(f"__key_{r}")) for left, r in pairs]
+        lambda a, b: a & b, [quoted(left).eqNullSafe(F.col(f"__key_{k}")) for k, (left, _) in enumerate(pairs)]
     )
-    helpers = [f"__key_{r}" for _, r in pairs]
-    if at_most(right, max_rows):
+    if fits(right, max_rows):
         right = F.broadcast(right)
-    else:
-        big = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-        right = right.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        match = match & (F.col("__salt") == F.col("__slot"))
-        helpers += ["__salt", "__slot"]
-    return big.join(right, match, how).drop(*helpers)
-
-
-def big_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    *,
-    max_rows: int = BROADCAST_ROWS,
-    hot_rows: int = 5_000_000,
-) -> DataFrame:
-    """Equi-join of two tables that both grow; ``right`` has one row per key.
+    return big.join(right, match, how).drop(*[f"__key_{k}" for k in range(len(pairs))])
 
-    A right side of checked small size is broadcast. Else the keys that hold more
-    than ``hot_rows`` left rows are found by counting; their left rows are joined
-    apart to the few right rows of those keys and never shuffled on the key.
-    """
-    if at_most(right, max_rows):
-        return _plain_join(left, F.broadcast(right), on, how)
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    hot = settle(counts.where(F.col("__n") > hot_rows).select(*on))
-    if hot.isEmpty():
-        return _plain_join(left, right, on, how)
-    few = lookup_join(right, hot, on, "left_semi", base_table=True)
-    apart = lookup_join(lookup_join(left, hot, on, "left_semi", base_table=True), few, on, how)
-    rest = _plain_join(lookup_join(left, hot, on, "left_anti", base_table=True), right, on, how)
-    return apart.unionByName(rest)
-
-
-def _plain_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join on keys that may be missing on both sides; a broadcast hint on ``right`` stays."""
-    renamed = right.withColumnsRenamed({key: f"__key_{key}" for key in on})
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in on])
-    return left.join(renamed, match, how).drop(*[f"__key_{k}" for k in on])
+
+def big_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", *, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Equi-join of two tables that both grow: as ``lookup_join`` on a stored right side."""
+    return lookup_join(left, right, on, how, base_table=True, max_rows=max_rows)

@@ -66,10 +66,13 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:
-    """One row per column: position, name, type and the first few values as text."""
-    head = df.limit(rows).select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    firsts = head.unpivot([], df.columns, "column", "value").groupBy("column").agg(
-        F.array_join(F.collect_list("value"), ", ").alias("first_values")
+    """One row per column: position, name, type and the first few values as text, in the order of the rows."""
+    head = df.limit(rows).select(
+        F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]
+    )
+    placed = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("__row", "value"))))
+    firsts = head.unpivot(["__row"], df.columns, "column", "value").groupBy("column").agg(
+        F.array_join(F.transform(placed, lambda p: p["value"]), ", ").alias("first_values")
     )
     described = df.sparkSession.createDataFrame(
         [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],

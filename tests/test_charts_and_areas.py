@@ -128,7 +128,7 @@ def inside(x, y):
     return hits
 
 
-@pytest.mark.parametrize("options", [{"step": 0.7}, {"step": 0.3, "max_cells": 0, "salts": 3}])
+@pytest.mark.parametrize("options", [{"step": 0.7}, {"step": 0.3, "max_cells": 0}])
 def test_assign_areas(grid_points, shapes, options):
     found: dict[int, set] = {}
     spots = {r["id"]: (r["longitude"], r["latitude"]) for r in grid_points.collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelmill.operators import aggregates as agg
 from parcelmill.operators import relational as rel
 from parcelmill.operators import windows as win
-from parcelmill.runtime import big_join, lookup_join
+from parcelmill.runtime import big_join, fits, lookup_join
 
 
 @pytest.fixture(scope="module")
@@ -21,22 +21,38 @@ def skewed(spark):
     return spark.range(3000).select("id", key.alias("k"), value.alias("v"), F.lit("x").alias("c"))
 
 
-def test_lookup_join_matches_missing_keys_and_salts(skewed):
-    stats = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    plain = lookup_join(skewed, stats, ["k"])
-    salted = lookup_join(skewed, stats, ["k"], max_rows=2, salts=4)
-    assert same_rows(plain, salted)
-    assert plain.where(F.col("n").isNull()).count() == 0
-    assert plain.count() == 3000
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("max_rows", [0, 2])
+def test_lookup_join_is_the_same_broadcast_or_not(skewed, how, max_rows):
+    stats = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n.rows")).where("k is null or k != 'k2'")
+    rows = skewed.withColumn("a.b", F.col("k")).withColumn("m", F.create_map(F.lit("x"), F.col("v")))
+    stats = stats.withColumnRenamed("k", "a.b")
+    plain = lookup_join(rows, stats, ["a.b"], how).drop("m")
+    shuffled = lookup_join(rows, stats, ["a.b"], how, max_rows=max_rows).drop("m")
+    assert same_rows(plain.toDF(*[c.replace(".", "_") for c in plain.columns]), shuffled.toDF(*[c.replace(".", "_") for c in plain.columns]))
+    expected = skewed.where("k = 'k2'").count()
+    assert plain.count() == {"left": 3000, "left_anti": expected}.get(how, 3000 - expected)
+
+
+def test_equal_rows_of_one_key_join(spark):
+    rows = spark.range(1000).select(F.lit("hot").alias("k"), F.lit(1).alias("v"))
+    right = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, w int")
+    for limit in (0, 100):
+        assert [tuple(r) for r in lookup_join(rows, right, ["k"], max_rows=limit).distinct().collect()] == [("hot", 1, 1)]
+        assert lookup_join(rows, right, ["k"], max_rows=limit).count() == 1000
+
+
+def test_fits_counts_rows_and_bytes(spark):
+    rows = spark.createDataFrame([("x" * 1000,), (None,)], "t string")
+    assert fits(rows) and not fits(rows, rows=1) and not fits(rows, size=500) and not fits(rows, rows=0)
+    assert fits(rows.limit(0))
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_big_join_hot_keys_apart(skewed, spark, how):
+def test_big_join_of_hot_keys(skewed, spark, how):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3), ("zz", 4)], "k string, w int")
     plain = big_join(skewed, right, ["k"], how)
-    apart = big_join(skewed, right, ["k"], how, max_rows=0, hot_rows=500)
-    shuffled = big_join(skewed, right, ["k"], how, max_rows=0, hot_rows=10**9)
-    assert same_rows(plain, apart)
+    shuffled = big_join(skewed, right, ["k"], how, max_rows=0)
     assert same_rows(plain, shuffled)
 
 
@@ -71,6 +87,26 @@ def test_quantiles_of_missing_and_constant_values(spark):
     assert agg.quantiles(rows.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
 
 
+def test_quantiles_of_infinite_and_widely_spread_values(spark):
+    spread = [float(f"{k % 9 + 1}e{k // 5 - 300}") for k in range(3000)]
+    rows = [("wide", x) for x in spread] + [("ends", x) for x in [float("-inf"), 1.0, 2.0, 3.0, float("inf")] * 30]
+    table = spark.createDataFrame(rows, "k string, v double")
+    probs = {"low": 0.0, "m": 0.5, "high": 1.0}
+    for limit in (0, 40, 10**6):
+        found = {r["k"]: (r["low"], r["m"], r["high"]) for r in agg.quantiles(table, ["k"], "v", probs, limit).collect()}
+        assert found["ends"] == (float("-inf"), 2.0, float("inf"))
+        np.testing.assert_allclose(found["wide"], np.quantile(spread, [0, 0.5, 1]))
+
+
+def test_quantiles_narrow_in_few_passes(spark, monkeypatch):
+    passes = []
+    once = agg._narrow_once
+    monkeypatch.setattr(agg, "_narrow_once", lambda *a: passes.append(1) or once(*a))
+    table = spark.range(3000).select(F.pow(F.lit(1.5), (F.col("id") % 1500).cast("double") - 700).alias("v"))
+    agg.quantiles(table, [], "v", {"m": 0.37}, 40).collect()
+    assert len(passes) <= 2
+
+
 def test_add_count_equals_window(skewed):
     counted = win.add_count(skewed, "k")
     by_hand = {r["k"]: r["count"] for r in skewed.groupBy("k").count().collect()}

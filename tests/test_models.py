@@ -85,7 +85,7 @@ def test_recipe_learns_from_its_rows_only(spark, sales):
 def test_dummies_add_up(spark):
     rows = spark.createDataFrame([("b",), ("a",), ("c d",), (None,)], "k string")
     coded = rec.DummyCoder(["k"], {"k": "b"}).fit(rows).transform(rows).collect()
-    assert [(r["k_a"], r["k_c.d"]) for r in coded] == [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]
+    assert [(r["k_a"], r["k_c.d"]) for r in coded] == [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (None, None)]
 
 
 def test_modes_and_pooling(spark):
@@ -194,3 +194,51 @@ def test_stream_scores_what_arrives(spark, sales, linear_fit, tmp_path):
     running = score_stream(linear_fit, stream, str(tmp_path / "out"), str(tmp_path / "state"))
     assert running.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def gappy(spark, n=300):
+    """Rows of which some lack a number, some a category, and some hold a level that training never saw."""
+    rows = []
+    for k in range(n):
+        size = None if k % 15 == 0 else 50.0 + k % 40
+        grade = None if k % 10 == 3 else ("rare" if k == n - 1 else f"g{k % 3}")
+        rows.append((k, 10.0 ** (2 + (size or 60) / 100 + (k % 3) / 10), size, grade))
+    return spark.createDataFrame(rows, "par_id long, sale_price_adj double, size double, grade string")
+
+
+@pytest.mark.parametrize("make", [models.linear, lambda: models.bagged_trees(trees=3, depth=4)])
+def test_every_row_is_scored_or_marked_missing(spark, make):
+    rows = gappy(spark)
+    stages = [rec.DummyCoder(["grade"], {}), rec.DesignVector(["size"])]
+    fitted = models.fit(rows.where("grade != 'rare' or grade is null"), make(), stages)
+    scored = models.predict(fitted, rows).collect()
+    assert len(scored) == 300
+    for r in scored:
+        lacks = r["size"] is None or r["grade"] in (None, "rare")
+        assert (r["pred"] is None) == lacks and (r["pred_dollar"] is None) == lacks and (r["features"] is None) == lacks
+
+
+def test_bounds_of_rows_with_gaps(spark):
+    rows = gappy(spark)
+    fitted = models.fit(rows, models.linear(), [rec.DummyCoder(["grade"], {}), rec.DesignVector(["size"])])
+    prepared = models.predict(fitted, rows)
+    closed = models.least_squares(prepared.withColumn("label", F.log10("sale_price_adj")))
+    bounded = models.with_bounds(prepared, closed).collect()
+    assert len(bounded) == 300
+    assert all((r["pred"] is None) == (r["pred_lower"] is None) == (r["pred_upper_dollar"] is None) for r in bounded)
+    trees = models.fit(rows, models.bagged_trees(trees=3, depth=4), [rec.DummyCoder(["grade"], {}), rec.DesignVector(["size"])])
+    of_trees = models.tree_bounds(trees, rows).collect()
+    assert len(of_trees) == 300 and sum(r["pred_lower"] is None for r in of_trees) == sum(r["pred"] is None for r in of_trees) > 0
+
+
+def test_many_levels_have_no_cap(spark):
+    rows = spark.range(9000).select(
+        F.concat(F.lit("l"), (F.col("id") % 4500).cast("string")).alias("c"), F.lit(10.0).alias("sale_price_adj")
+    )
+    assert len(rec.DummyCoder(["c"], {}).fit(rows)._value("levels")["c"]) == 4500
+
+
+def test_the_most_frequent_level_stays_when_all_are_rare(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "c string")
+    pooled = rec.RareLevels({"c": 100}, {"c": "other"}).fit(rows).transform(rows)
+    assert sorted(str(r["c"]) for r in pooled.collect()) == ["None", "b", "b", "other", "other"]
