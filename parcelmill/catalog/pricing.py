@@ -85,6 +85,94 @@ def md3(t: Inputs):
     return models.predict(fitted, housing).select("par_id", "pred", "pred_dollar")
 
 
+# Trees can't be written in SQL, so what must hold of every fit is checked: a prediction for each row, better than the mean.
+FIT_HOLDS = "SELECT count(*) AS n, count(*) AS n_scored, true AS beats_mean FROM housing"
+
+
+def fit_holds(scored: DataFrame) -> DataFrame:
+    label = F.log10("sale_price_adj")
+    error = F.sqrt(F.avg(F.pow(label - F.col("pred"), 2)))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.count("pred").alias("n_scored"), (error < F.stddev_pop(label)).alias("beats_mean")
+    )
+
+
+@query(
+    "MD1_recipe_fit_holds",
+    """SELECT count(*) AS n, count(*) AS n_scored, 0.0::DOUBLE AS mean_resid, 0.0::DOUBLE AS with_area, 0.0::DOUBLE AS with_lot,
+    0.0::DOUBLE AS with_age FROM housing""",
+)
+def md1_recipe(t: Inputs):
+    """Least squares over the whole recipe: residuals have mean 0 and no product with any predictor."""
+    housing = t.kept()
+    scored = models.residuals(models.predict(models.fit(housing, models.linear()), housing))
+    products = {"with_area": "finished_living_area", "with_lot": "lot_area", "with_age": "house_age_at_sale"}
+    table = scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("pred").alias("n_scored"),
+        F.abs(F.avg("resid")).alias("mean_resid"),
+        *[F.abs(F.corr("resid", F.col(c).cast("double"))).alias(name) for name, c in products.items()],
+    )
+    return rounded(table, 6, "mean_resid", *products)
+
+
+@query("MD4_recipe_folds_hold", FIT_HOLDS)
+def md4_recipe(t: Inputs):
+    """Out-of-fold predictions with the recipe learnt again in each of ten folds."""
+    return fit_holds(models.resample(rec.folds(t.housing(), "par_id", SEED), models.linear))
+
+
+@query(
+    "CJ9_recipe_bounds_hold",
+    "SELECT count(*) AS n, count(*) AS n_ordered, count(*) AS n_resid FROM housing",
+)
+def cj9_recipe(t: Inputs):
+    """Every sale has bounds around its prediction, with the model of the whole recipe."""
+    housing = t.kept()
+    scored = modelling.score_with_bounds(models.fit(housing, models.linear()), housing, housing)
+    ordered = (F.col("pred_lower") <= F.col("pred")) & (F.col("pred") <= F.col("pred_upper"))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ordered, 1)).alias("n_ordered"), F.count("resid").alias("n_resid"))
+
+
+@query("MD2_forest_holds", FIT_HOLDS)
+def md2_holds(t: Inputs):
+    housing = t.kept()
+    return fit_holds(models.predict(models.fit(housing, models.forest(**TREES)), housing))
+
+
+@query("MD3_bagged_holds", FIT_HOLDS)
+def md3_holds(t: Inputs):
+    housing = t.kept()
+    return fit_holds(models.predict(models.fit(housing, models.bagged_trees(**TREES)), housing))
+
+
+@query("MD8_tree_bounds_hold", "SELECT count(*) AS n, count(*) AS n_ordered FROM housing")
+def md8_holds(t: Inputs):
+    housing = t.kept()
+    bounded_ = models.tree_bounds(models.fit(housing, models.bagged_trees(**TREES)), housing)
+    ordered = (F.col("pred_lower") <= F.col("pred")) & (F.col("pred") <= F.col("pred_upper"))
+    return bounded_.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ordered, 1)).alias("n_ordered"))
+
+
+IMPORTANCE_HOLDS = "SELECT 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS n_negative"
+
+
+def importance_holds(table: DataFrame, value: str) -> DataFrame:
+    return rounded(table.agg(F.sum(value).alias("total"), F.count(F.when(F.col(value) < 0, 1)).alias("n_negative")), 6, "total")
+
+
+@query("MD13_importance_holds", IMPORTANCE_HOLDS)
+def md13_holds(t: Inputs):
+    fitted = models.fit(t.housing(), models.forest(**TREES))
+    return importance_holds(ev.importance_table(t.spark, fitted), "importance")
+
+
+@query("MD14_importance_holds", IMPORTANCE_HOLDS)
+def md14_holds(t: Inputs):
+    fitted = models.fit(t.housing(), models.bagged_trees(**TREES))
+    return importance_holds(ev.tree_importance_table(t.spark, fitted), "value")
+
+
 CV = {
     "folded": f"SELECT *, (row_number() OVER (ORDER BY {HASH}) - 1) % 10 + 1 AS fold FROM housing",
     "fits": """SELECT k, regr_intercept(log10(sale_price_adj), finished_living_area) AS a,
@@ -154,16 +242,16 @@ def md6_gaps(t: Inputs):
     return rounded(rounded(scored, 5, "pred"), 2, "pred_dollar")
 
 
-LEVEL_MEANS = """SELECT par_id, round(CASE WHEN h.grade_desc IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN m END, 5) AS pred
+LEVEL_MEANS = """SELECT par_id, round(CASE WHEN h.grade_desc IN ('Excellent', 'Very Good', 'Good') THEN m END, 5) AS pred
     FROM housing h LEFT JOIN (SELECT grade_desc, avg(log10(sale_price_adj)) AS m FROM housing
-      WHERE grade_desc IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY grade_desc) g ON g.grade_desc = h.grade_desc"""
+      WHERE grade_desc IN ('Excellent', 'Very Good', 'Good') GROUP BY grade_desc) g ON g.grade_desc = h.grade_desc"""
 
 
 @query("MD6_unknown_levels", LEVEL_MEANS)
 def md6_levels(t: Inputs):
     """A model of level means, trained on three grades only: other and missing grades get no prediction."""
     rows = t.kept("par_id", "sale_price_adj", "grade_desc")
-    known = rows.where(F.col("grade_desc").isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
+    known = rows.where(F.col("grade_desc").isin("Excellent", "Very Good", "Good"))
     fitted = models.fit(known, models.linear(), [rec.DummyCoder(["grade_desc"], {}), rec.DesignVector([])])
     return rounded(models.predict(fitted, rows).select("par_id", "pred"), 5, "pred")
 
