@@ -429,6 +429,21 @@ def md18(t: Inputs):
     return rounded(rounded(effects, 6, "effect", "multiplier"), 3, "effect_dollar")
 
 
+@query(
+    "MD18_rebuilt_price",
+    """SELECT par_id, round(finished_living_area * b + house_age_at_sale * c, 6) AS effect,
+    round(pow(10, a) * (finished_living_area * b + house_age_at_sale * c), 3) AS effect_dollar,
+    round(pow(10, a + finished_living_area * b + house_age_at_sale * c), 3) AS price FROM housing, fit2""",
+    **FIT2,
+)
+def md18_price(t: Inputs):
+    housing = t.kept("par_id", "sale_price_adj", *TWO)
+    fitted = small_fit(housing, TWO)
+    table = settle(ev.coefficient_table(t.spark, fitted, names=TWO))
+    effects = ev.contributions(models.predict(fitted, housing), table, TWO, "par_id")
+    return rounded(rounded(ev.rebuilt_price(effects, table, "par_id"), 6, "effect"), 3, "effect_dollar", "price")
+
+
 @query(
     "MD19_median_residual",
     " UNION ALL ".join(

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from parcelmill.catalog.aggregation import in_list
 from parcelmill.catalog.charts import density_sql
 from parcelmill.catalog.inputs import Inputs, rounded
-from parcelmill.catalog.pricing import AREA, FIT1, small_fit
+from parcelmill.catalog.pricing import AREA, BOUNDS, FIT1, T_TERMS, small_fit
 from parcelmill.catalog.registry import query
+from parcelmill.functions.numeric import normal_quantile
 from parcelmill.functions.property_rules import CONDITION_ORDER, GRADE_ORDER
 from parcelmill.operators.distribution import heatmap, histogram
-from parcelmill.operators.models import predict
+from parcelmill.operators.models import least_squares, predict
+from parcelmill.operators.recipe import with_label
 from parcelmill.plans import serving
 from parcelmill.runtime import scratch_path, settle
 from parcelmill.sources.tables import read_table
@@ -33,6 +35,24 @@ def sv1(t: Inputs):
     return rounded(rounded(scored, 6, "pred"), 3, "pred_dollar")
 
 
+@query(
+    "SV1_requests_with_bounds",
+    """SELECT request_id, round(pow(10, a + b * finished_living_area), 3) AS pred_dollar,
+    round(pow(10, a + b * finished_living_area - half), 2) AS pred_lower_dollar,
+    round(pow(10, a + b * finished_living_area + half), 2) AS pred_upper_dollar FROM (
+      SELECT r.request_id, r.finished_living_area, a, b, (TERMS) * sqrt(s2 * (1.0 / n + pow(r.finished_living_area - xm, 2) / sxx)) AS half
+      FROM requests r, fit1, spread)""".replace("TERMS", f"{normal_quantile(0.975)!r} + {T_TERMS}"),
+    **BOUNDS,
+)
+def sv1_bounds(t: Inputs):
+    housing = t.kept("par_id", "sale_price_adj", *AREA)
+    model = small_fit(housing, AREA)
+    closed = least_squares(with_label(predict(model, housing)), names=AREA)
+    scored = serving.score_requests(model, t.requests(), closed)
+    table = scored.select("request_id", "pred_dollar", "pred_lower_dollar", "pred_upper_dollar")
+    return rounded(rounded(table, 3, "pred_dollar"), 2, "pred_lower_dollar", "pred_upper_dollar")
+
+
 @query(
     "SV2_comparable_sales",
     "SELECT request_id, h.par_id, h.sale_price_adj FROM housing h JOIN requests r USING (geo_id, style_desc)",

@@ -170,6 +170,14 @@ def contributions(
     )
 
 
+def rebuilt_price(effects: DataFrame, coefficients: DataFrame, row_id: str, chosen: Sequence[str] | None = None) -> DataFrame:
+    """Sum of the chosen terms' effects on each row, and the price from the intercept and these effects alone."""
+    base = coefficients.where(F.col("term") == "(Intercept)").agg(F.max("estimate").alias("b")).scalar()
+    rows = effects if chosen is None else effects.where(F.col("term").isin(*chosen))
+    total = rows.groupBy(row_id).agg(F.sum("effect").alias("effect"), F.sum("effect_dollar").alias("effect_dollar"))
+    return total.withColumn("price", from_log10(base + F.col("effect")))
+
+
 def odd_inputs(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Number of rows that break each named rule, in one pass."""
     counts = df.agg(

@@ -24,6 +24,8 @@ HEADER_WORDS = [
     ("finished_livingarea", "finished_living_area"), ("cdu", "cdu_"), ("basement", "basement_"),
     ("roof", "roof_"), ("heatingcooling", "heatingcooling_"),
 ]
+# A parcel whose record is known to be wrong, and the columns of the source tables.
+BAD_PARCELS = ("0014G00199000000",)
 ASSESSMENT_COLUMNS = [
     "par_id", "usedesc", "school_desc", "muni_desc", "sale_desc", "sale_price", "sale_date",
     "year_blt", "style_desc", "bedrooms", "fullbaths", "halfbaths", "finished_living_area",
@@ -54,13 +56,21 @@ def clean_assessments(
     target_year: int = 2019,
     first_year: int = 1975,
     least_price: float = 100,
-    bad_parcels: Sequence[str] = ("0014G00199000000",),
+    bad_parcels: Sequence[str] = BAD_PARCELS,
+    absent: Sequence[str] = (),
 ) -> DataFrame:
     """Valid sales of allowed uses, pruned, dated, recoded and brought to one year's prices.
 
-    Filters come before every join but the allow-list, so they reach the scan.
+    Headers of a raw file are cleaned first. A column that is missing is an error,
+    unless it is named in ``absent``. Filters come before every join but the
+    allow-list, so they reach the scan.
     """
-    kept = [c for c in ASSESSMENT_COLUMNS if c in raw.columns]
+    kept = [c for c in ASSESSMENT_COLUMNS if c not in absent]
+    if not set(kept) <= set(raw.columns):
+        raw = clean_headers(raw)
+    lacking = [c for c in kept if c not in raw.columns]
+    if lacking:
+        raise ValueError(f"columns not found: {lacking}")
     sales = semi_join(raw.where(is_valid_sale()).select(*kept), allowed_uses(raw), ["usedesc"])
     dated = sales.withColumn("sale_date", dates.month_day_year(F.col("sale_date"))).withColumns(
         {

@@ -18,7 +18,7 @@ from parcelmill.functions.property_rules import CONDITION_ORDER, GRADE_ORDER
 from parcelmill.operators.aggregates import count_by, quantiles
 from parcelmill.operators.distribution import density, heatmap, histogram, iqr_histogram
 from parcelmill.operators.factors import lump_top
-from parcelmill.operators.models import predict
+from parcelmill.operators.models import LinearFit, predict, with_bounds
 from parcelmill.operators.relational import bind_rows, longer
 from parcelmill.runtime import lookup_join, settle
 from parcelmill.sources.tables import write_table
@@ -26,10 +26,16 @@ from parcelmill.sources.tables import write_table
 MATCH = ("geo_id", "style_desc")
 
 
-def score_requests(model: PipelineModel, requests: DataFrame) -> DataFrame:
-    """Predicted dollars for each request."""
+def score_requests(model: PipelineModel, requests: DataFrame, bounds: LinearFit | None = None) -> DataFrame:
+    """Predicted dollars for each request, with confidence bounds if the linear fit behind the model is given.
+
+    A request with a missing predictor keeps its row, without numbers.
+    """
     scored = predict(model, requests)
-    return scored.select("request_id", "pred", "pred_dollar", text.dollar(F.col("pred_dollar")).alias("price_text"))
+    shown = ["request_id", "pred", "pred_dollar", text.dollar(F.col("pred_dollar")).alias("price_text")]
+    if bounds is None:
+        return scored.select(*shown)
+    return with_bounds(scored, bounds).select(*shown, "pred_lower_dollar", "pred_upper_dollar")
 
 
 def comparable_sales(sales: DataFrame, requests: DataFrame, on: Sequence[str] = MATCH) -> DataFrame:
