@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from parcelmill.llm import decontamination, language, ngram_join, packing, quality
 from parcelmill.llm.common import field, fresh, table, written
 
-#: The main language of a text must have at least this share of its letters.
-LEAST_LANGUAGE_SHARE = 0.25
+#: The language of a text must have at least this share of its letters; else none prevails.
+LEAST_LANGUAGE_SHARE = 0.05
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

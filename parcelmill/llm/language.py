@@ -34,6 +34,8 @@ BITS = 17
 TRAIN_ROWS = 1_000
 SWITCH = 14.0
 WORD_LIMIT = 12.0
+#: Share of the letters from which the language at both ends is that of the text.
+LEAST_OUTER = 0.05
 SEED = 42
 
 # Where the blocks of letters of the larger scripts begin, and their names.
@@ -193,10 +195,8 @@ def fit(
 
 def word_scores(words: Words, model: LanguageModel) -> np.ndarray:
     """Words x languages; equal words of the slice are scored once."""
-    spans = words.points
-    keys = np.zeros(len(words.starts), dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(texts.mix(spans.astype(np.uint64) + np.uint64(1)) * _powers(len(spans)))])
-    keys = (total[words.ends] - total[words.starts]) * _inverse(len(spans))[words.starts]
+    points = np.ascontiguousarray(words.points).view(np.uint8)
+    keys = texts.span_hashes(points, words.starts * 4, words.ends * 4)
     _, at, back = np.unique(keys, return_index=True, return_inverse=True)
     slots, owner = _ngrams(words.points, words.starts[at], words.ends[at], model.bits)
     out = np.empty((len(at), len(model.languages)))
@@ -209,14 +209,6 @@ def word_scores(words: Words, model: LanguageModel) -> np.ndarray:
     return out[back]
 
 
-def _powers(size: int) -> np.ndarray:
-    return texts._power_tables(size + 1)[0][:size]
-
-
-def _inverse(size: int) -> np.ndarray:
-    return texts._power_tables(size + 1)[1]
-
-
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Language of each word on the best path; ties go to staying, then to the first language."""
     whole = scores.sum(axis=0)
@@ -250,7 +242,7 @@ def identify(
 
     ``lang_spans`` covers the text from its first to its last letter by ranges
     of characters [first, end). ``lang_pred`` is the language that both opens and
-    closes the text, else the one with the most letters; ``lang_score`` is its
+    closes the text with at least a twentieth of its letters, else the one with the most; ``lang_score`` is its
     share of the letters. Texts that are missing or
     without letters are ``und`` with score 0 and no spans; so is every text if
     nothing was learned. Words in a script of no learned language decide
@@ -282,7 +274,9 @@ def identify(
                     path = best_path(of_text, switch) if of_text.any() else np.full(high - low, model.prior)
                     letters = np.bincount(path, words.ends[low:high] - words.starts[low:high], minlength=len(model.languages))
                     # What opens and closes a text holds passages of other languages as insertions.
-                    top = int(path[0]) if path[0] == path[-1] else int(np.argmax(letters))
+                    outer = int(path[0])
+                    holds = outer == path[-1] and letters[outer] >= LEAST_OUTER * letters.sum()
+                    top = outer if holds else int(np.argmax(letters))
                     names.append(model.languages[top])
                     shares.append(float(letters[top] / letters.sum()))
                     turns = np.flatnonzero(np.diff(path)) + 1
