@@ -39,10 +39,10 @@ def pooled_sql(column: str, groups: dict) -> str:
 def flagship(t: Inputs):
     housing = t.kept("geo_id", "style_desc", "sale_price_adj", "finished_living_area")
     stats = agg.count_and_median(housing, ["geo_id"], "sale_price_adj")
-    ranks = fct.level_order(housing, "geo_id", "sale_price_adj", name="price_rank")
+    ranked = fct.rank_levels(stats, F.asc_nulls_last("median"), F.asc("geo_id"), name="price_rank")
     scored = win.zscore(housing, ["style_desc"], "finished_living_area", "z")
     large = scored.groupBy("geo_id").agg(F.sum(F.when(F.col("z") > 1, 1).otherwise(0)).alias("n_large"))
-    joined = lookup_join(lookup_join(stats, ranks, ["geo_id"]), large, ["geo_id"])
+    joined = lookup_join(ranked, large, ["geo_id"])
     return joined.select(
         "geo_id", "n", F.round("median", 6).alias("median_price"), "price_rank", "n_large"
     ).orderBy("price_rank")
