@@ -6,8 +6,9 @@ every language from hashed character n-grams (word ends included), and the best
 sequence of languages under a penalty for each switch (Viterbi) labels spans.
 
 Most texts have one language. That is settled without the word-by-word pass:
-if no run of words gains as much for another language as a switch costs, staying
-with one language is the best path. The other texts get the full pass.
+if no run of words gains as much for another language as a switch costs, nor a
+beginning and an end together, staying with one language is the best path. The
+other texts get the full pass.
 
 The n-gram counts come from a hash-drawn sample of about ``train_rows``
 documents a language; the model's size is fixed by ``bits`` and the number of
@@ -215,7 +216,10 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     stay = int(np.argmax(whole))
     gain = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, [stay]], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() < switch:
+    # A detour through other languages costs a switch for each of its parts and gains less.
+    # A path without the language at all saves one switch; beyond its first and last part it gains less too.
+    detour = (gain - np.minimum.accumulate(gain, axis=0)).max()
+    if detour < switch and gain[1:].max() + (gain[-1] - gain[:-1]).max() <= switch:
         return np.full(len(scores), stay)
     rows = scores.tolist()
     languages = range(scores.shape[1])

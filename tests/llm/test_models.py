@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -145,7 +145,8 @@ def all_paths(scores, switch):
     return max(value)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=1000, deadline=None)
+@example([[-3, 0, 4], [6, 4, 0]], 5)
 @given(st.lists(st.lists(st.integers(-6, 6), min_size=3, max_size=3), min_size=1, max_size=25), st.integers(1, 12))
 def test_path_is_the_best(rows, switch):
     scores = np.array(rows, dtype=float)
