@@ -2,8 +2,8 @@
 
 Pivots are reference vectors from a bounded sample of the table, none a near copy
 of another; their number follows the root of the row count within fixed bounds. A vector is
-described by its ``near`` nearest pivots in order. Two vectors are compared if
-they share at least ``shared`` of these: each vector is entered in the inverted
+described by its ``near`` nearest pivots in order, more of them the more pivots there
+are. Two vectors are compared if they share at least ``shared`` of these: each vector is entered in the inverted
 list of every combination of ``shared`` of its pivots, so a list holds just the
 vectors that share them. A pair is compared in one list only, the first of its
 common combinations.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from parcelmill.llm.common import field, written
 from parcelmill.llm.components import components
 
+#: Fewest nearest pivots that describe a vector; ``near_count`` asks for more with more pivots.
 NEAR = 6
 SHARED = 2
 MIN_PIVOTS, MAX_PIVOTS = 64, 4_096
@@ -43,6 +44,15 @@ def pivot_count(rows: int) -> int:
     return min(max(wanted, MIN_PIVOTS), MAX_PIVOTS)
 
 
+def near_count(pivots: int) -> int:
+    """Nearest pivots by which a vector is described: 6 of 64, 12 of 4,096.
+
+    Among more pivots the order of the nearest is less stable; with a fixed number two vectors at
+    the limit would share too few of them on large tables.
+    """
+    return max(NEAR, (pivots - 1).bit_length())
+
+
 def _unit(lists: pa.ListArray, size: int) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
@@ -60,7 +70,7 @@ def near_vectors(
     key: str = "vec_id",
     vector: str = "embedding",
     least: float = 0.9,
-    near: int = NEAR,
+    near: int | None = None,
     shared: int = SHARED,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -68,6 +78,7 @@ def near_vectors(
 
     ``n_links`` counts the other rows found with a cosine of at least ``least``;
     ``component_id`` is the smallest key reachable by links; ``kept`` marks it.
+    Without ``near``, ``near_count`` gives it.
 
     Vectors that are missing, zero or hold missing or non-finite components link
     with nothing, and so do vectors of different lengths with each other. Equal
@@ -117,10 +128,10 @@ def near_vectors(
     )
 
 
-def _links(items: DataFrame, size: int, least: float, near: int, shared: int, block_rows: int) -> DataFrame:
+def _links(items: DataFrame, size: int, least: float, near: int | None, shared: int, block_rows: int) -> DataFrame:
     """(item, other, n): links for components, and rows without ``other`` that add n to the item's count."""
     pivots = _pivots(items, size)
-    near = min(near, len(pivots))
+    near = min(near_count(len(pivots)) if near is None else near, len(pivots))
     shared = min(shared, near)
     reference = items.sparkSession.sparkContext.broadcast(pivots)
 

@@ -148,6 +148,24 @@ def test_vectors_equal_brute_force(spark, block_rows):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("pivots", [64, embeddings.MAX_PIVOTS])
+def test_recall_near_the_limit(spark, monkeypatch, pivots):
+    """Pairs with a cosine of 0.90 to 0.93; the pivots are no vectors of the table, as nearly all are on large ones."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, aside = unit(rng.normal(size=(600, 64))), rng.normal(size=(600, 64))
+    aside = unit(aside - (aside * one).sum(axis=1, keepdims=True) * one)
+    cosine = rng.uniform(0.9001, 0.93, (600, 1))
+    other = cosine * one + np.sqrt(1 - cosine**2) * aside
+    monkeypatch.setattr(embeddings, "_pivots", lambda items, size: unit(rng.normal(size=(pivots, size))))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.concatenate([one, other]))]
+    got = embeddings.near_vectors(spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS).repartition(3)).collect()
+    there = nearby(rows)
+    assert sum(n for _, n, _ in there) >= 1200
+    assert sum(r["n_links"] for r in got) >= 0.99 * sum(n for _, n, _ in there)
+    assert sum(r["kept"] for r in got) <= 600 + 0.01 * 600
+
+
 def test_vectors_without_key_or_rows(spark):
     rows = [(None, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [-1.0, 0.5])]
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
