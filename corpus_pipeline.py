@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from parcelmill.llm import decontamination, language, ngram_join, packing, quality
 from parcelmill.llm.common import field, fresh, table, written
 
-#: The language of a text must have at least this share of its letters; else none prevails.
-LEAST_LANGUAGE_SHARE = 0.05
+#: Words known to the languages of their spans must have at least this share of a text's letters; else its language is unknown.
+LEAST_KNOWN_SHARE = 0.5
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +24,17 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in which no language prevails."""
+    """Drops documents without letters and those whose words are mostly in none of the learned languages.
+
+    A text with insertions of another learned language stays: each span counts by its own language.
+    """
     model = language.fit(table(spark, sf_dir, "documents"))
     lang = fresh(docs, "found_lang")
     found = language.identify(docs, model, into=lang)
-    kept = (field(f"{lang}_pred") != "und") & (field(f"{lang}_score") >= LEAST_LANGUAGE_SHARE)
+    spans = field(f"{lang}_spans")
+    letters = F.aggregate(spans, F.lit(0).cast("long"), lambda n, span: n + span["letters"])
+    known = F.aggregate(spans, F.lit(0).cast("long"), lambda n, span: n + span["known"])
+    kept = (field(f"{lang}_pred") != "und") & (known >= LEAST_KNOWN_SHARE * letters)
     return found.where(kept).drop(f"{lang}_pred", f"{lang}_score", f"{lang}_spans")
 
 

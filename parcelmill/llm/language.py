@@ -37,6 +37,8 @@ SWITCH = 14.0
 WORD_LIMIT = 12.0
 #: Share of the letters from which the language at both ends is that of the text.
 LEAST_OUTER = 0.05
+#: A word is known to a language that was seen with its script and with so many of its n-grams.
+WORD_SEEN = 0.8
 SEED = 42
 
 # Where the blocks of letters of the larger scripts begin, and their names.
@@ -125,6 +127,7 @@ def _ngrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int)
 class LanguageModel:
     languages: list[str]
     scores: np.ndarray  # slots x languages, 0 where nothing was learned
+    seen: np.ndarray  # slots x languages
     candidates: np.ndarray  # scripts x languages
     prior: int
     bits: int
@@ -145,13 +148,13 @@ def _counts(texts_: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray
 def build(languages: list[str], grams: np.ndarray, scripts: np.ndarray, rows: list[int], bits: int) -> LanguageModel:
     """The model from counts per language (rows) and slot or script (columns)."""
     if not languages:
-        return LanguageModel([], np.zeros((1 << bits, 0)), np.zeros((len(SCRIPTS), 0), dtype=bool), 0, bits)
+        return LanguageModel([], np.zeros((1 << bits, 0)), np.zeros((1 << bits, 0), dtype=bool), np.zeros((len(SCRIPTS), 0), dtype=bool), 0, bits)
     smooth = 0.5
     share = np.log((grams + smooth) / (grams.sum(axis=1, keepdims=True) + smooth * grams.shape[1]))
     share -= share.mean(axis=0)
     share[:, grams.sum(axis=0) == 0] = 0
     use = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-    return LanguageModel(languages, share.T.copy(), (use >= 0.005).T.copy(), int(np.argmax(rows)), bits)
+    return LanguageModel(languages, share.T.copy(), (grams > 0).T.copy(), (use >= 0.005).T.copy(), int(np.argmax(rows)), bits)
 
 
 def fit(
@@ -194,20 +197,23 @@ def fit(
     return build([r["lang"] for r in found], grams, scripts, [r["rows"] for r in found], bits)
 
 
-def word_scores(words: Words, model: LanguageModel) -> np.ndarray:
-    """Words x languages; equal words of the slice are scored once."""
+def word_scores(words: Words, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Scores, and whether the word is known, as words x languages; equal words of the slice are scored once."""
     points = np.ascontiguousarray(words.points).view(np.uint8)
     keys = texts.span_hashes(points, words.starts * 4, words.ends * 4)
     _, at, back = np.unique(keys, return_index=True, return_inverse=True)
     slots, owner = _ngrams(words.points, words.starts[at], words.ends[at], model.bits)
     out = np.empty((len(at), len(model.languages)))
+    known = np.empty(out.shape, dtype=bool)
+    least = WORD_SEEN * np.bincount(owner, minlength=len(at))
     for k in range(len(model.languages)):
         out[:, k] = np.bincount(owner, model.scores[slots, k], minlength=len(at))
+        known[:, k] = np.bincount(owner, model.seen[slots, k], minlength=len(at)) >= least
     out = np.clip(out / 2, -WORD_LIMIT, WORD_LIMIT)
     allowed = model.candidates[words.scripts[at]]
     out[~allowed & allowed.any(axis=1, keepdims=True)] = -WORD_LIMIT
     out[~allowed.any(axis=1)] = 0
-    return out[back]
+    return out[back], (known & allowed)[back]
 
 
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -236,7 +242,7 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(path[::-1])
 
 
-_SPANS = T.ArrayType(T.StructType().add("lang", "string").add("first", "integer").add("end", "integer"))
+_SPANS = T.ArrayType(T.StructType().add("lang", "string").add("first", "integer").add("end", "integer").add("letters", "integer").add("known", "integer"))
 
 
 def identify(
@@ -245,9 +251,10 @@ def identify(
     """All rows and columns of ``docs`` with lang_pred, lang_score and lang_spans.
 
     ``lang_spans`` covers the text from its first to its last letter by ranges
-    of characters [first, end). ``lang_pred`` is the language that both opens and
-    closes the text with at least a twentieth of its letters, else the one with the most; ``lang_score`` is its
-    share of the letters. Texts that are missing or
+    of characters [first, end), with the number of letters and how many of them are in words known to the
+    language (``WORD_SEEN``). ``lang_pred`` is the language that both opens and
+    closes the text with at least a twentieth of its letters, else the one with the most; ``lang_score`` is the
+    share of its known words in all letters, near 0 for a text in none of the learned languages. Texts that are missing or
     without letters are ``und`` with score 0 and no spans; so is every text if
     nothing was learned. Words in a script of no learned language decide
     nothing. ``into`` begins the names of the new columns; they must not exist.
@@ -258,7 +265,7 @@ def identify(
         raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
-    span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))
+    span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("letters", pa.int32()), ("known", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -266,7 +273,7 @@ def identify(
             names, shares, spans = [], [], []
             for first, end, raw, offsets in texts.text_slices(batch.column(at), 1 << 20):
                 words = find_words(raw, offsets)
-                scores = word_scores(words, model) if model.languages and len(words.starts) else None
+                scores, known = word_scores(words, model) if model.languages and len(words.starts) else (None, None)
                 for k in range(end - first):
                     low, high = int(words.first[k]), int(words.first[k + 1])
                     if low == high or scores is None:
@@ -276,20 +283,26 @@ def identify(
                         continue
                     of_text = scores[low:high]
                     path = best_path(of_text, switch) if of_text.any() else np.full(high - low, model.prior)
-                    letters = np.bincount(path, words.ends[low:high] - words.starts[low:high], minlength=len(model.languages))
+                    sizes = words.ends[low:high] - words.starts[low:high]
+                    known_sizes = sizes * known[low:high][np.arange(high - low), path]
+                    letters = np.bincount(path, sizes, minlength=len(model.languages))
                     # What opens and closes a text holds passages of other languages as insertions.
                     outer = int(path[0])
                     holds = outer == path[-1] and letters[outer] >= LEAST_OUTER * letters.sum()
                     top = outer if holds else int(np.argmax(letters))
                     names.append(model.languages[top])
-                    shares.append(float(letters[top] / letters.sum()))
+                    shares.append(float(known_sizes[path == top].sum() / letters.sum()))
                     turns = np.flatnonzero(np.diff(path)) + 1
                     cuts = [0, *turns.tolist(), len(path)]
+                    of_span, known_of_span = (np.add.reduceat(x, cuts[:-1]).tolist() for x in (sizes, known_sizes))
                     base = int(words.chars[k])
                     spans.append(
                         [
-                            {"lang": model.languages[path[a]], "first": int(words.starts[low + a]) - base, "end": int(words.ends[low + b - 1]) - base}
-                            for a, b in zip(cuts, cuts[1:], strict=False)
+                            {
+                                "lang": model.languages[path[a]], "first": int(words.starts[low + a]) - base,
+                                "end": int(words.ends[low + b - 1]) - base, "letters": n, "known": m,
+                            }
+                            for a, b, n, m in zip(cuts, cuts[1:], of_span, known_of_span, strict=False)
                         ]
                     )
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span_type)]

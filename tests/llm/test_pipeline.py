@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from check_oracle import compare, duck
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from parcelmill.llm import ngram_join, packing, queries
+from parcelmill.llm import language, ngram_join, packing, queries
 from parcelmill.llm.common import table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -53,6 +54,30 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_language_stage_drops_unlearned_languages_and_keeps_insertions(spark):
+    rows = table(spark, SF_DIR, "documents").where("length(text) between 300 and 600").orderBy("doc_id").collect()
+    by_lang = {}
+    for r in rows:
+        by_lang.setdefault(r["lang"], r["text"])
+    one, other = [by_lang[k] for k in sorted(by_lang)][:2]
+    rng = random.Random(5)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(80))
+    texts = {
+        "one": one, "insertion": f"{one} {other * 3} {one}", "halves": f"{one} {other}", "han": "中文字 这是一个 测试 " * 20,
+        "cyrillic": "это простой русский текст " * 20, "noise": noise, "digits": "12 34",
+        "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, docs, SF_DIR).collect()}
+    assert kept == {"one", "insertion", "halves"}
+    found = language.identify(docs, language.fit(table(spark, SF_DIR, "documents")))
+    score = {r["doc_id"]: r["lang_score"] for r in found.collect()}
+    assert score["han"] == score["cyrillic"] == 0 and score["noise"] < 0.3 and score["polish"] < 0.5 and score["one"] > 0.8
+    for r in found.collect():
+        assert all(0 <= s["known"] <= s["letters"] for s in r["lang_spans"])
+        assert sum(s["letters"] for s in r["lang_spans"]) == sum(c.isalpha() for c in r["text"])
+
+
 def test_stages_of_nothing(spark):
     docs = table(spark, SF_DIR, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
