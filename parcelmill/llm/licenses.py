@@ -9,6 +9,7 @@ with at most k errors, which gives the place and the number of edits.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -97,12 +98,43 @@ def _fuzzy(data: bytes, low: int, high: int, notice: str, at: list[int]) -> list
         stop = data.find(b" ", b, high)
         b = high if stop < 0 else stop
         window = data[a:b].decode()
-        for m in _pattern(notice).finditer(window):
+        for m in _matches(notice, window):
             start = a + len(window[: m.start()].encode())
             found.append((start, start + len(m.group().encode()), sum(m.fuzzy_counts)))
     return found
 
 
+def _matches(notice: str, window: str) -> Iterator[regex.Match]:
+    """All matches that don't overlap: the best ones around the seeds first, then those left in the gaps."""
+    pattern, slack = _pattern(notice), edits(notice)
+    near = {}
+    for offset, piece in seeds(notice):
+        at = window.find(piece)
+        while at >= 0:
+            low = window.rfind(" ", 0, max(at - offset - slack, 0) + 1) + 1
+            stop = window.find(" ", at - offset + len(notice) + slack) if at - offset + len(notice) + slack < len(window) else -1
+            m = pattern.search(window, low, len(window) if stop < 0 else stop)
+            if m:
+                near[m.span()] = m
+            at = window.find(piece, at + 1)
+    starts: list[int] = []
+    ends: list[int] = []
+    for m in sorted(near.values(), key=lambda m: (sum(m.fuzzy_counts), m.start())):
+        k = bisect.bisect(starts, m.start())
+        if (k == 0 or ends[k - 1] <= m.start()) and (k == len(starts) or starts[k] >= m.end()):
+            starts.insert(k, m.start())
+            ends.insert(k, m.end())
+            yield m
+    # Words on both sides stay whole: a match begins and ends at a blank.
+    gaps = list(zip([0, *(x + 1 for x in ends)], [*(x - 1 for x in starts), len(window)], strict=True))
+    while gaps:
+        low, high = gaps.pop()
+        m = pattern.search(window, low, high) if low < high else None
+        if m:
+            yield m
+            gaps += [(low, m.start() - 1), (m.end() + 1, high)]
+
+
 _RESULT = (
     T.StructType()
     .add("n_words", "long").add("n_base", "long").add("first_word", "long").add("last_word", "long")

@@ -164,3 +164,28 @@ def test_notices_with_permitted_edits_are_found(data):
     raw = whole.encode()
     found = licenses._scan_slice(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
     assert label in found[0][5]
+
+
+@pytest.mark.parametrize(
+    ("text", "places"),
+    [
+        ("licensd under cc by licensed under cc by", [(0, 4, 1), (4, 8, 0)]),
+        ("licensd under cc by and licensd under cc by licensed under cc by", [(0, 4, 1), (5, 9, 1), (9, 13, 0)]),
+        ("licensed under cc by licensd under cc by é licensed undr cc by", [(0, 4, 0), (4, 8, 1), (9, 13, 1)]),
+    ],
+)
+def test_adjacent_notices_are_all_found(text, places):
+    raw = text.encode()
+    spans = licenses._scan_slice(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0][7]
+    assert [(s["first"], s["end"], s["edits"]) for s in spans] == places
+
+
+def test_list_of_adjacent_notices():
+    for notice in ("licensed under cc by", "licensed under the mit license", "all rights reserved"):
+        edited = notice[:2] + notice[3:]
+        for n in (1, 5, 60):
+            raw = " ".join([edited] * n + [notice]).encode()
+            spans = licenses._scan_slice(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))[0][7]
+            size = len(notice.split())
+            got = {(s["first"], s["edits"]) for s in spans}
+            assert {(size * k, 1) for k in range(n)} | {(size * n, 0)} <= got
