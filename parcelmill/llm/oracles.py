@@ -130,3 +130,98 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
 """
+
+EXACT_TOP_K = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors r ON q.vec_id % 50 = 0 AND q.vec_id != r.vec_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+# Near words share the word without one code point: at the same place if one is replaced, as the shorter word if one is inserted.
+SPELLING_VARIANTS = """
+WITH RECURSIVE slots AS (
+  SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, zero: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS slot
+  FROM (SELECT unnest(range(256)) AS k)
+),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+  FROM documents
+),
+named AS (SELECT DISTINCT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name FROM runs WHERE length(run) >= 7),
+sums AS (
+  SELECT name, run, xor(list_reduce(
+      list_prepend(4294967295, [CAST('0x' || substr(hex(name), CAST(2 * i + 1 AS INT), 2) AS BIGINT) for i in range(octet_length(encode(name)))]),
+      lambda c, byte: xor(slot[(xor(c, byte) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM named CROSS JOIN slots
+),
+cut AS (
+  SELECT name, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums
+),
+words AS (
+  SELECT word, count(*) AS n FROM runs JOIN cut ON name = coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+),
+shorter AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word != b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+),
+best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near
+),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND place = 1
+),
+ways AS (
+  SELECT word, word AS root, 0 AS steps FROM forms
+  UNION ALL
+  SELECT w.word, f.form, steps + 1 FROM ways w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL
+),
+ends AS (SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)
+"""
+
+SOURCE_DIVERGENCE = r"""
+WITH doc AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+terms AS (
+  SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM doc
+),
+kept AS (SELECT lang, term, count(*) AS total FROM terms GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS size FROM (SELECT DISTINCT lang, source FROM doc) g LEFT JOIN counts USING (lang, source) GROUP BY ALL
+),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2) // (g.size + 2 * v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (total + 2) // (l.size + 2 * v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelmill.llm import (
     chat,
     decontamination,
+    divergence,
     embeddings,
     language,
     licenses,
@@ -18,7 +19,9 @@ from parcelmill.llm import (
     packing,
     quality,
     sharding,
+    spelling,
     token_counts,
+    top_k,
 )
 from parcelmill.llm.common import crc_fold, table
 
@@ -29,6 +32,9 @@ ORACLES: dict[str, str] = {
     "op9_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
     "op10_embedding_near_dedup": oracles.EMBEDDING_NEAR_DEDUP,
     "op1_interleaved_shards": oracles.INTERLEAVED_SHARDS,
+    "op11_exact_top_k": oracles.EXACT_TOP_K,
+    "op12_spelling_variants": oracles.SPELLING_VARIANTS,
+    "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
 
 
@@ -110,3 +116,23 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms, weights = top_k.scaled(F.col("embedding"), 256)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", terms.alias("terms"), weights.alias("weights"))
+    found = top_k.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5, key="vec_id")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"), "A-Za-z\u00C0-\u00FF", 7)
+    words = runs.select(spelling.misspelt(F.col("key"), F.col("run"), 31).alias("word")).where(F.length("word") >= 7)
+    return spelling.spelling_variants(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
