@@ -30,8 +30,8 @@ LETTERS[0x61:0x7B] = True
 LETTERS[0x80:] = True
 SCALE = 1_000_000_000
 MIN_DOCS, TOP_TERMS = 10, 10
-#: Postings of a slice of terms, on average, and pairs of groups of a task.
-SLICE_POSTINGS, TASK_PAIRS = 1 << 19, 1 << 20
+#: Postings of a slice of terms, on average, at least; a slice has as many as it returns sums, up to the pairs of groups of a task.
+SLICE_POSTINGS, TASK_PAIRS = 1 << 16, 1 << 20
 #: Postings scattered at once: their sum stays below 2^53, so adding doubles is exact.
 SCATTERED = 1 << 20
 TEXT_BYTES = 4 << 20
@@ -207,13 +207,14 @@ def audit(
         F.sum("n").alias("lang_size"), F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms")
     )
     groups = occurring.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
-    of_lang = Window.partitionBy("lang")
+    pairs = F.pow(F.count(F.lit(1)).over(Window.partitionBy("lang")), 2)
+    in_slice = F.greatest(F.lit(SLICE_POSTINGS), F.least(pairs, F.lit(TASK_PAIRS)))
     groups = written(
         groups.withColumns(
             {
                 "base": _share(F.lit(0).cast("long"), F.col("size"), F.col("terms")),
-                "slices": F.greatest(F.ceil(F.col("postings") / SLICE_POSTINGS), F.lit(1)).cast("int"),
-                "tiles": F.ceil(F.pow(F.count(F.lit(1)).over(of_lang), 2) / TASK_PAIRS).cast("int"),
+                "slices": F.greatest(F.ceil(F.col("postings") / in_slice), F.lit(1)).cast("int"),
+                "tiles": F.ceil(pairs / TASK_PAIRS).cast("int"),
             }
         ),
         "groups",
