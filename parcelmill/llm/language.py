@@ -49,10 +49,13 @@ SCRIPT_RANGES = [
     (0x0C00, 0x0C7F, "Telugu"), (0x0C80, 0x0CFF, "Kannada"), (0x0D00, 0x0D7F, "Malayalam"), (0x0E00, 0x0E7F, "Thai"),
     (0x0E80, 0x0EFF, "Lao"), (0x10A0, 0x10FF, "Georgian"), (0x1100, 0x11FF, "Hangul"), (0x1200, 0x137F, "Ethiopic"),
     (0x1E00, 0x1EFF, "Latin"), (0x1F00, 0x1FFF, "Greek"), (0x3040, 0x309F, "Kana"), (0x30A0, 0x30FF, "Kana"),
-    (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"), (0x20000, 0x2FA1F, "Han"),
+    (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"), (0x20000, 0x2FA1F, "Han"), (0x30000, 0x323AF, "Han"),
 ]
 SCRIPTS = ["Other", *sorted({name for *_, name in SCRIPT_RANGES})]
-_PLANES = 0x30000
+#: No code point from here on is a letter, nor is the one before.
+_PLANES = 0x32400
+#: Bytes of training text counted at once; the n-grams of a slice take some 50 times as much memory.
+COUNT_BYTES = 256 << 10
 
 
 @functools.cache
@@ -101,7 +104,7 @@ def find_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def _ngrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int):
-    """Slots of all n-grams (1 to 4) of the words with a mark at both ends, and where each word's begin."""
+    """For n from 1 to 4: slots of all n-grams of the words with a mark at both ends, and the word of each."""
     sizes = ends - starts + 2
     begin = np.cumsum(sizes) - sizes
     total = int(sizes.sum())
@@ -111,16 +114,20 @@ def _ngrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int)
     flat[real] = points[(np.repeat(starts, sizes) + inner - 1)[real]]
     left = np.repeat(sizes, sizes) - inner  # characters from here to the end of the word
     mask = np.uint64((1 << bits) - 1)
-    slots, words = [], []
     owner = np.repeat(np.arange(len(starts)), sizes)
     for n in (1, 2, 3, 4):
         if total < n:
             break
         grams = texts.shingle_hashes(flat, n)
         inside = left[: len(grams)] >= n
-        slots.append((texts.mix(grams + np.uint64(n)) & mask).astype(np.int64)[inside])
-        words.append(owner[: len(grams)][inside])
-    return np.concatenate(slots), np.concatenate(words)
+        yield (texts.mix(grams + np.uint64(n)) & mask).astype(np.int64)[inside], owner[: len(grams)][inside]
+
+
+def _different(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different word, and which of these each word is."""
+    points = np.ascontiguousarray(words.points).view(np.uint8)
+    _, at, back = np.unique(texts.span_hashes(points, words.starts * 4, words.ends * 4), return_index=True, return_inverse=True)
+    return at, back
 
 
 @dataclass(frozen=True)
@@ -136,11 +143,13 @@ class LanguageModel:
 def _counts(texts_: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
     grams, scripts = np.zeros(1 << bits), np.zeros(len(SCRIPTS))
     column = pa.array(texts_, pa.large_string())
-    for _, _, raw, offsets in texts.text_slices(column):
+    for _, _, raw, offsets in texts.text_slices(column, COUNT_BYTES):
         words = find_words(raw, offsets)
         if len(words.starts):
-            slots, _ = _ngrams(words.points, words.starts, words.ends, bits)
-            grams += np.bincount(slots, minlength=1 << bits)
+            at, back = _different(words)
+            times = np.bincount(back)
+            for slots, owner in _ngrams(words.points, words.starts[at], words.ends[at], bits):
+                grams += np.bincount(slots, times[owner], minlength=1 << bits)
             scripts += np.bincount(words.scripts, words.ends - words.starts, minlength=len(SCRIPTS))
     return grams, scripts
 
@@ -199,10 +208,8 @@ def fit(
 
 def word_scores(words: Words, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """Scores, and whether the word is known, as words x languages; equal words of the slice are scored once."""
-    points = np.ascontiguousarray(words.points).view(np.uint8)
-    keys = texts.span_hashes(points, words.starts * 4, words.ends * 4)
-    _, at, back = np.unique(keys, return_index=True, return_inverse=True)
-    slots, owner = _ngrams(words.points, words.starts[at], words.ends[at], model.bits)
+    at, back = _different(words)
+    slots, owner = (np.concatenate(x) for x in zip(*_ngrams(words.points, words.starts[at], words.ends[at], model.bits), strict=True))
     out = np.empty((len(at), len(model.languages)))
     known = np.empty(out.shape, dtype=bool)
     least = WORD_SEEN * np.bincount(owner, minlength=len(at))

@@ -120,26 +120,29 @@ class Ftrl:
         self.n[at] += g * g
 
 
+def _example(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of a text's features, and of the bias."""
+    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+    at, values = [], []
+    for slots, _ in features(raw, np.array([0, len(raw)]), bits):
+        if len(slots):
+            slot, count = np.unique(slots, return_counts=True)
+            at.append(slot)
+            values.append(count / len(slots))
+    slot, place = np.unique(np.concatenate([*at, [1 << bits]]).astype(np.int64), return_inverse=True)
+    return slot, np.bincount(place, np.concatenate([*values, [1.0]]))
+
+
 def fit_rows(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Weights and bias from (text, label) rows, in the order of a seeded shuffle in each epoch."""
-    examples = []
-    for text, label in rows:
-        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        at, values = [], []
-        for slots, _ in features(raw, np.array([0, len(raw)]), bits):
-            if len(slots):
-                slot, count = np.unique(slots, return_counts=True)
-                at.append(slot)
-                values.append(count / len(slots))
-        at.append(np.array([1 << bits]))
-        values.append(np.ones(1))
-        slot, place = np.unique(np.concatenate(at), return_inverse=True)
-        examples.append((slot, np.bincount(place, np.concatenate(values)), label))
+    """Weights and bias from (text, label) rows, in the order of a seeded shuffle in each epoch.
+
+    Features are made anew in each epoch: those of all rows would take far more memory than the texts.
+    """
     model = Ftrl(1 << bits)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for k in order.permutation(len(examples)):
-            model.update(*examples[k])
+        for k in order.permutation(len(rows)):
+            model.update(*_example(rows[k][0], bits), rows[k][1])
     weights = model.weights()
     return weights[:-1].astype(np.float64), float(weights[-1])
 

@@ -153,3 +153,50 @@ def test_path_is_the_best(rows, switch):
     path = language.best_path(scores, switch)
     total = scores[np.arange(len(path)), path].sum() - switch * np.count_nonzero(np.diff(path))
     assert total == all_paths(rows, switch)
+
+
+def test_counts_of_words_equal_counts_of_places(monkeypatch):
+    given_texts = ["Ka lo ka LO ren", None, "", "до до ми", "éo " * 40, "\U00030001\U00030002"]
+    want, scripts = np.zeros(1 << 8), np.zeros(len(language.SCRIPTS))
+    for text in given_texts:
+        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        words = language.find_words(raw, np.array([0, len(raw)]))
+        for first, end, script in zip(words.starts, words.ends, words.scripts, strict=True):
+            scripts[script] += end - first
+            for slots, _ in language._ngrams(words.points, np.array([first]), np.array([end]), 8):
+                np.add.at(want, slots, 1)
+    assert scripts[language.SCRIPTS.index("Han")] == 2
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(language, "COUNT_BYTES", size)
+        grams, counted = language._counts(given_texts, 8)
+        assert np.array_equal(grams, want) and np.array_equal(counted, scripts)
+
+
+def test_training_equals_updates_of_dense_vectors():
+    """Follow-the-regularised-leader over whole vectors, coordinate by coordinate as published."""
+    rng, bits = np.random.default_rng(6), 6
+    rows = [(sentences(rng, GOOD, int(rng.integers(0, 9))) if k else None, int(rng.integers(0, 2))) for k in range(25)]
+    weights, bias = quality.fit_rows(rows, bits, epochs=2, seed=3)
+    model = quality.Ftrl(1 << bits)
+    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+
+    def leader():
+        return np.array([
+            0.0 if abs(a) <= model.l1 else -(a - np.sign(a) * model.l1) / ((model.beta + b**0.5) / model.alpha + model.l2)
+            for a, b in zip(z, n, strict=True)
+        ])
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            raw = np.frombuffer((rows[k][0] or "").encode(), dtype=np.uint8)
+            x = np.zeros(len(z))
+            x[-1] = 1
+            for slots, _ in quality.features(raw, np.array([0, len(raw)]), bits):
+                for slot in slots:
+                    x[slot] += 1 / len(slots)
+            w = leader()
+            g = (1 / (1 + np.exp(-(w @ x))) - rows[k][1]) * x
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / model.alpha * w
+            n += g * g
+    assert np.allclose(leader(), [*weights, bias], atol=1e-9)
