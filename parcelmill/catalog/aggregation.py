@@ -152,25 +152,34 @@ def ag11(t: Inputs):
     return rounded(agg.share_of_total(counts), 8, "share")
 
 
+# The columns of the sales table in order, with their Spark types.
+HOUSING_TYPES = {
+    "par_id": "bigint", "sale_price_adj": "double", "house_age_at_sale": "bigint", "sale_year": "bigint", "sale_month": "string",
+    "lot_area": "double", "finished_living_area": "double", "bedrooms": "bigint", "fullbaths": "bigint", "halfbaths": "bigint",
+    "geo_id": "string", "style_desc": "string", "grade_desc": "string", "condition_desc": "string", "ac_flag": "boolean", "heat_type": "string",
+    "longitude": "double", "latitude": "double", "year_blt": "bigint", "school_desc": "string", "sale_date": "date",
+}
+
+
 def _profile_sql() -> str:
-    number = """SELECT '{c}' AS "column", CAST(count(*) - count({c}) AS BIGINT) AS n_missing,
-        round(count({c}) / count(*), 6) AS complete_rate, count(DISTINCT {c}) AS n_unique,
-        CAST(NULL AS BIGINT) AS min_length, CAST(NULL AS BIGINT) AS max_length,
-        round(avg({c}), 4) AS mean, round(stddev_samp({c}), 3) AS sd, round(quantile_cont({c}, 0.0), 4) AS p0,
-        round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50,
-        round(quantile_cont({c}, 0.75), 4) AS p75, round(quantile_cont({c}, 1.0), 4) AS p100 FROM housing"""
-    text = """SELECT '{c}', CAST(count(*) - count({c}) AS BIGINT), round(count({c}) / count(*), 6),
-        count(DISTINCT {c}), min(length({c})), max(length({c})), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM housing"""
-    return " UNION ALL ".join(
-        [number.format(c=c) for c in ("finished_living_area", "bedrooms", "house_age_at_sale")]
-        + [text.format(c=c) for c in ("geo_id", "condition_desc", "heat_type")]
-    )
+    def column(position: int, c: str, kind: str) -> str:
+        length = f"min(length({c})) AS min_length, max(length({c})) AS max_length" if kind == "string" else "CAST(NULL AS BIGINT) AS min_length, CAST(NULL AS BIGINT) AS max_length"
+        marks = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
+        if kind in ("bigint", "double"):
+            numbers = [f"round(avg({c}), 4) AS mean", f"round(stddev_samp({c}), 3) AS sd"]
+            numbers += [f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 4) AS {name}" for name, p in marks.items()]
+        else:
+            numbers = [f"CAST(NULL AS DOUBLE) AS {name}" for name in ("mean", "sd", *marks)]
+        return f"""SELECT CAST({position} AS BIGINT) AS position, '{c}' AS "column", '{kind}' AS type, CAST(count(*) - count({c}) AS BIGINT) AS n_missing,
+            round(count({c}) / count(*), 6) AS complete_rate, count(DISTINCT {c}) AS n_unique, {length}, {", ".join(numbers)} FROM housing"""
+
+    return " UNION ALL ".join(column(k + 1, c, kind) for k, (c, kind) in enumerate(HOUSING_TYPES.items()))
 
 
 @query("AG12_column_profile", _profile_sql())
 def ag12(t: Inputs):
-    chosen = t.kept("finished_living_area", "bedrooms", "house_age_at_sale", "geo_id", "condition_desc", "heat_type")
-    table = agg.profile(chosen).drop("position", "type")
+    """All columns of the sales table, with their positions and types."""
+    table = agg.profile(t.kept(*HOUSING_TYPES))
     table = rounded(table, 4, "mean", "p0", "p25", "p50", "p75", "p100")
     return rounded(rounded(table, 3, "sd"), 6, "complete_rate")
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from parcelmill.catalog.aggregation import HASH, pooled_sql
 from parcelmill.catalog.inputs import SEED, Inputs, rounded
 from parcelmill.catalog.registry import query
+from parcelmill.operators import design as ds
 from parcelmill.operators import recipe as rec
 from parcelmill.operators.relational import longer
 from parcelmill.runtime import settle
@@ -131,29 +131,73 @@ def fe10(t: Inputs):
     return rec.RareLevels({"geo_id": 500}, {"geo_id": "school_other"}).fit(chosen).transform(chosen)
 
 
-@query(
-    "FE11_reference_levels",
-    """SELECT name, level, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN level IN ('Average', 'Jun') THEN 0 ELSE 1 END, level)
-      AS position FROM (SELECT DISTINCT 'grade_desc' AS name, grade_desc AS level FROM housing
-      UNION SELECT DISTINCT 'sale_month', sale_month FROM housing) WHERE level IS NOT NULL""",
-)
+REFERENCES = " ".join(f"WHEN '{name}' THEN '{level}'" for name, level in rec.REFERENCE_LEVELS.items())
+SUFFIX = "regexp_replace(level, '[^0-9A-Za-z._]', '.', 'g')"
+
+
+def _mode_sql(column: str) -> str:
+    return f"(SELECT {column} FROM d_text WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1)"
+
+
+def _pooled_sql(name: str, nth: int, least: str, other: str) -> str:
+    return f"""SELECT par_id, '{name}' AS name, {nth} AS nth, CASE WHEN {name} IS NULL THEN NULL
+        WHEN n >= {least} OR (top_n < {least} AND {name} = top) THEN {name} ELSE '{other}' END AS level
+      FROM d_filled LEFT JOIN (SELECT {name}, count(*) AS n, sum(count(*)) OVER () AS total, max(count(*)) OVER () AS top_n,
+        first_value({name}) OVER (ORDER BY count(*) DESC, {name} DESC) AS top FROM d_text WHERE {name} IS NOT NULL GROUP BY {name}) USING ({name})"""
+
+
+def design_sql(source: str = "housing", area_rows: int = 500) -> dict[str, str]:
+    """The recipe learnt from ``source``: d_filled (rows), d_cells (row, column, level), d_levels and d_coded (row, term)."""
+    merged = {
+        "condition_desc": pooled_sql("condition_desc", rec.CONDITION_GROUPS), "grade_desc": pooled_sql("grade_desc", rec.GRADE_GROUPS), "ac_flag": "ac_flag",
+    }
+    own = {"grade_desc": 3, "condition_desc": 4, "ac_flag": 5, "heat_type": 6, "sale_month": 7}
+    return {
+        "d_text": f"SELECT * REPLACE (upper(CAST(ac_flag AS VARCHAR)) AS ac_flag) FROM {source}",
+        "d_full": "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, {_mode_sql(c)}) AS {c}" for c in merged) + ", "
+        + ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM d_text)) AS {c}" for c in ("bedrooms", "fullbaths", "halfbaths"))
+        + ") FROM d_text",
+        "d_filled": "SELECT * REPLACE (" + ", ".join(f"{x} AS {c}" for c, x in merged.items()) + f", {HEAT_RULE} AS heat_type) FROM d_full",
+        "d_cells": " UNION ALL ".join(
+            [_pooled_sql("geo_id", 1, str(area_rows), "school_other"), _pooled_sql("style_desc", 2, "0.05 * total", "style_other")]
+            + [f"SELECT par_id, '{c}', {k}, {c} FROM d_filled" for c, k in own.items()]
+        ),
+        "d_levels": f"""SELECT name, nth, level, count(*) AS n, row_number() OVER (PARTITION BY name
+            ORDER BY CASE WHEN level = CASE name {REFERENCES} END THEN 0 ELSE 1 END, level) AS position FROM d_cells WHERE level IS NOT NULL GROUP BY name, nth, level""",
+        "d_coded": f"""SELECT par_id, name || '_' || CASE WHEN regexp_matches({SUFFIX}, '^([0-9]|[.][0-9]|_)') THEN 'X' ELSE '' END || {SUFFIX} AS term
+            FROM d_cells JOIN d_levels USING (name, level) WHERE position > 1""",
+    }
+
+
+NUMBERS = rec.Roles().numeric
+
+
+def learnt(rows) -> tuple:
+    """The rows prepared for the recipe of all columns, and what the recipe learns from them."""
+    ready = settle(ds.prepared(rows, ds.sales_recipe()))
+    return ready, ds.learn(ready, ds.sales_recipe())
+
+
+def coded_rows(ready, design):
+    """(par_id, term, value): the non-zero entries of every design row, the numbers always."""
+    names = ds.term_names(design).select("term", F.col("name").alias("of_term"))
+    entries = ds.encode(ready, design).select("par_id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+    return entries.select("par_id", F.col("e.terms").alias("term"), F.col("e.weights").alias("value")).join(names, "term").select(
+        "par_id", F.col("of_term").alias("term"), "value"
+    )
+
+
+@query("FE11_reference_levels", "SELECT name, level, position, n FROM d_levels", **design_sql())
 def fe11(t: Inputs):
-    coder = rec.DummyCoder(["grade_desc", "sale_month"], {"grade_desc": "Average", "sale_month": "Jun"})
-    levels = coder.fit(t.housing())._value("levels")
-    rows = [(name, level, k + 1) for name, found in levels.items() for k, level in enumerate(found)]
-    return t.spark.createDataFrame(rows, "name string, level string, position long")
+    """Levels of all seven nominal columns, the reference level first."""
+    return learnt(t.housing())[1].levels.select("name", "level", "position", "n")
 
 
-@query(
-    "FE12_dummy_columns",
-    """SELECT par_id, CAST(grade_desc = 'Below Average' AS DOUBLE) AS "grade_desc_Below.Average",
-    CAST(grade_desc = 'Excellent' AS DOUBLE) AS "grade_desc_Excellent", CAST(grade_desc = 'Good' AS DOUBLE) AS "grade_desc_Good",
-    CAST(grade_desc = 'Very Good' AS DOUBLE) AS "grade_desc_Very.Good" FROM housing""",
-)
+@query("FE12_dummy_columns", "SELECT par_id, term, 1.0::DOUBLE AS value FROM d_coded", **design_sql())
 def fe12(t: Inputs):
-    chosen = t.kept("par_id", "grade_desc")
-    coded = rec.DummyCoder(["grade_desc"], {"grade_desc": "Average"}).fit(chosen).transform(chosen)
-    return coded.drop("grade_desc")
+    """Dummies of all seven nominal columns, as the entries that are 1."""
+    coded = coded_rows(*learnt(t.housing()))
+    return coded.where(~F.col("term").isin(*NUMBERS))
 
 
 BAKED = {
@@ -161,7 +205,8 @@ BAKED = {
     "train": "SELECT * FROM labelled WHERE split = 'train'",
     "med": "SELECT quantile_cont(bedrooms, 0.5) AS m FROM train",
     "mode": """SELECT condition_desc AS c FROM train WHERE condition_desc IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1""",
-    "kept": "SELECT geo_id FROM train GROUP BY geo_id HAVING count(*) >= 440",
+    "kept": """SELECT geo_id FROM (SELECT geo_id, count(*) AS n, max(count(*)) OVER () AS most, row_number() OVER (ORDER BY count(*) DESC, geo_id DESC) AS place
+        FROM train GROUP BY geo_id) WHERE n >= 440 OR (most < 440 AND place = 1)""",
 }
 
 
@@ -175,17 +220,22 @@ BAKED = {
 )
 def fe13(t: Inputs):
     rows = settle(rec.split(t.kept(), "par_id", SEED, strata="sale_price_adj"))
-    stages = rec.recipe_stages(area_rows=440)
-    fitted = Pipeline(stages=stages).fit(rows.where(F.col("split") == "train"))
-    baked = fitted.transform(rows.where(F.col("split") == "test"))
-    return baked.select("par_id", "bedrooms", "heat_type", "condition_desc", "geo_id")
+    recipe = ds.sales_recipe(area_rows=440)
+    design = ds.learn(ds.prepared(rows.where(F.col("split") == "train"), recipe), recipe)
+    baked = ds.bake(ds.prepared(rows.where(F.col("split") == "test"), recipe), design)
+    level = {c.column: F.col(f"__l{k}").alias(c.column) for k, c in enumerate(recipe.categories)}
+    beds = F.col(f"__x{list(recipe.numeric).index('bedrooms')}").alias("bedrooms")
+    return baked.select("par_id", beds, level["heat_type"], level["condition_desc"], level["geo_id"])
 
 
-@query("FE13_design_vector")
+@query(
+    "FE13_design_vector",
+    " UNION ALL ".join([f"SELECT par_id, '{c}' AS term, round(CAST({c} AS DOUBLE), 6) AS value FROM d_filled" for c in NUMBERS])
+    + " UNION ALL SELECT par_id, term, 1.0::DOUBLE FROM d_coded",
+    **design_sql(),
+)
 def fe13_vector(t: Inputs):
-    housing = settle(t.housing())
-    fitted = Pipeline(stages=rec.recipe_stages()).fit(housing)
-    return fitted.transform(housing).select("par_id", vector_to_array("features").alias("features"))
+    return rounded(coded_rows(*learnt(t.housing())), 6, "value")
 
 
 @query(

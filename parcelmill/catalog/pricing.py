@@ -1,8 +1,8 @@
 """Queries: models, evaluation and attribution.
 
-Queries with SQL use a model of one or two predictors, whose least-squares
-solution SQL can state; the full recipe and the tree models are checked by
-their rows and, in the tests, by their properties.
+Queries whose SQL states the least-squares solution use one or two predictors. The full recipe is checked by
+what must hold of its solution (residuals have no product with any term), full-size trees by what must hold of
+every fit; both are compared with other implementations in the tests.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelmill.catalog.aggregation import HASH
+from parcelmill.catalog.features import NUMBERS, coded_rows, design_sql
 from parcelmill.catalog.inputs import SEED, Inputs, rounded
 from parcelmill.catalog.registry import query
 from parcelmill.functions.numeric import normal_quantile
+from parcelmill.operators import design as ds
+from parcelmill.operators import ensembles, models
 from parcelmill.operators import evaluation as ev
-from parcelmill.operators import models
+from parcelmill.operators import normal_equations as equations
 from parcelmill.operators import recipe as rec
 from parcelmill.operators.aggregates import median
 from parcelmill.operators.distribution import box_summary
@@ -25,7 +28,7 @@ from parcelmill.runtime import settle
 
 AREA = ["finished_living_area"]
 TWO = ["finished_living_area", "house_age_at_sale"]
-TREES = {"trees": 10, "depth": 6}
+ONE, BOTH = ds.Recipe(AREA), ds.Recipe(TWO)
 
 
 def small_fit(rows: DataFrame, names: list[str] = AREA):
@@ -65,24 +68,46 @@ BOUNDS = {
     **FIT2,
 )
 def md1(t: Inputs):
-    last = small_fit(t.housing(), TWO).stages[-1]
-    rows = [("(Intercept)", round(last.intercept, 6))]
-    rows += [(n, round(float(v), 8)) for n, v in zip(TWO, last.coefficients)]
-    return t.spark.createDataFrame(rows, "term string, estimate double")
+    table = equations.fit(t.kept("par_id", "sale_price_adj", *TWO), BOTH).coefficients(t.spark).select("term", "estimate")
+    digits = F.when(F.col("term") == "(Intercept)", F.round("estimate", 6)).otherwise(F.round("estimate", 8))
+    return table.withColumn("estimate", digits)
+
+
+@query(
+    "MD1_normal_equations",
+    "SELECT term, n, 0.0::DOUBLE AS product FROM (SELECT term, count(*) AS n FROM d_coded GROUP BY term UNION ALL SELECT '(Intercept)', count(*) FROM housing"
+    + "".join(f" UNION ALL SELECT '{c}', count(*) FROM housing" for c in NUMBERS)
+    + ")",
+    **design_sql(),
+)
+def md1_equations(t: Inputs):
+    """The whole recipe: the residuals have no product with any term (numbers from their mean, per standard deviation and row)."""
+    housing = t.kept()
+    fitted = equations.fit(housing, ds.sales_recipe())
+    left = models.residuals(fitted.predict(housing)).select("par_id", "resid")
+    entries = coded_rows(ds.prepared(housing, fitted.recipe), fitted.design)
+    entries = entries.unionByName(housing.select("par_id", F.lit("(Intercept)").alias("term"), F.lit(1.0).alias("value")))
+    sums = entries.join(left, "par_id").groupBy("term").agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.coalesce(F.covar_pop("resid", "value") / F.greatest(F.stddev_pop("value"), F.lit(1.0)), F.lit(0.0))).alias("apart"),
+        F.abs(F.avg("resid")).alias("mean"),
+    )
+    # Of a dummy only the rows with a 1 are entries.
+    product = F.when(F.col("term").isin("(Intercept)", *NUMBERS), F.col("apart") + F.when(F.col("term") == "(Intercept)", F.col("mean")).otherwise(0.0)).otherwise(F.col("mean"))
+    return rounded(sums.select("term", "n", product.alias("product")), 7, "product")
 
 
 @query("MD2_random_forest")
 def md2(t: Inputs):
+    """A forest of 500 trees on all predictors."""
     housing = t.kept()
-    fitted = models.fit(housing, models.forest(**TREES))
-    return models.predict(fitted, housing).select("par_id", "pred", "pred_dollar")
+    return ensembles.fit(housing, ds.sales_recipe(), ensembles.forest()).predict(housing).select("par_id", "pred", "pred_dollar")
 
 
 @query("MD3_bagged_trees")
 def md3(t: Inputs):
+    """Twenty-five bagged trees without a limit of depth."""
     housing = t.kept()
-    fitted = models.fit(housing, models.bagged_trees(**TREES))
-    return models.predict(fitted, housing).select("par_id", "pred", "pred_dollar")
+    return ensembles.fit(housing, ds.sales_recipe(), ensembles.bagged_trees()).predict(housing).select("par_id", "pred", "pred_dollar")
 
 
 # Trees can't be written in SQL, so what must hold of every fit is checked: a prediction for each row, better than the mean.
@@ -105,7 +130,7 @@ def fit_holds(scored: DataFrame) -> DataFrame:
 def md1_recipe(t: Inputs):
     """Least squares over the whole recipe: residuals have mean 0 and no product with any predictor."""
     housing = t.kept()
-    scored = models.residuals(models.predict(models.fit(housing, models.linear()), housing))
+    scored = models.residuals(equations.fit(housing, ds.sales_recipe()).predict(housing))
     products = {"with_area": "finished_living_area", "with_lot": "lot_area", "with_age": "house_age_at_sale"}
     table = scored.agg(
         F.count(F.lit(1)).alias("n"),
@@ -119,7 +144,7 @@ def md1_recipe(t: Inputs):
 @query("MD4_recipe_folds_hold", FIT_HOLDS)
 def md4_recipe(t: Inputs):
     """Out-of-fold predictions with the recipe learnt again in each of ten folds."""
-    return fit_holds(models.resample(rec.folds(t.housing(), "par_id", SEED), models.linear))
+    return fit_holds(equations.out_of_fold(rec.folds(t.kept(), "par_id", SEED), ds.sales_recipe()))
 
 
 @query(
@@ -129,7 +154,7 @@ def md4_recipe(t: Inputs):
 def cj9_recipe(t: Inputs):
     """Every sale has bounds around its prediction, with the model of the whole recipe."""
     housing = t.kept()
-    scored = modelling.score_with_bounds(models.fit(housing, models.linear()), housing, housing)
+    scored = modelling.score_with_bounds(equations.fit(housing, ds.sales_recipe()), housing)
     ordered = (F.col("pred_lower") <= F.col("pred")) & (F.col("pred") <= F.col("pred_upper"))
     return scored.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ordered, 1)).alias("n_ordered"), F.count("resid").alias("n_resid"))
 
@@ -137,40 +162,43 @@ def cj9_recipe(t: Inputs):
 @query("MD2_forest_holds", FIT_HOLDS)
 def md2_holds(t: Inputs):
     housing = t.kept()
-    return fit_holds(models.predict(models.fit(housing, models.forest(**TREES)), housing))
+    return fit_holds(ensembles.fit(housing, ds.sales_recipe(), ensembles.forest()).predict(housing))
 
 
 @query("MD3_bagged_holds", FIT_HOLDS)
 def md3_holds(t: Inputs):
     housing = t.kept()
-    return fit_holds(models.predict(models.fit(housing, models.bagged_trees(**TREES)), housing))
+    return fit_holds(ensembles.fit(housing, ds.sales_recipe(), ensembles.bagged_trees()).predict(housing))
 
 
-@query("MD8_tree_bounds_hold", "SELECT count(*) AS n, count(*) AS n_ordered FROM housing")
+@query("MD8_tree_bounds_hold", "SELECT count(*) AS n, count(*) AS n_ordered, count(*) AS n_errors FROM housing")
 def md8_holds(t: Inputs):
     housing = t.kept()
-    bounded_ = models.tree_bounds(models.fit(housing, models.bagged_trees(**TREES)), housing)
+    bounded_ = ensembles.fit(housing, ds.sales_recipe(), ensembles.bagged_trees()).with_bounds(housing)
     ordered = (F.col("pred_lower") <= F.col("pred")) & (F.col("pred") <= F.col("pred_upper"))
-    return bounded_.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ordered, 1)).alias("n_ordered"))
+    return bounded_.agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(ordered, 1)).alias("n_ordered"), F.count(F.when(F.col("std_error") > 0, 1)).alias("n_errors")
+    )
 
 
-IMPORTANCE_HOLDS = "SELECT 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS n_negative"
+IMPORTANCE_HOLDS = """SELECT 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS n_negative, count(DISTINCT term) + {n} AS n_terms FROM d_coded""".format(n=len(NUMBERS))
 
 
-def importance_holds(table: DataFrame, value: str) -> DataFrame:
-    return rounded(table.agg(F.sum(value).alias("total"), F.count(F.when(F.col(value) < 0, 1)).alias("n_negative")), 6, "total")
+def importance_holds(table: DataFrame) -> DataFrame:
+    found = table.agg(
+        F.sum("importance").alias("total"), F.count(F.when(F.col("importance") < 0, 1)).alias("n_negative"), F.count(F.lit(1)).alias("n_terms")
+    )
+    return rounded(found, 6, "total")
 
 
-@query("MD13_importance_holds", IMPORTANCE_HOLDS)
+@query("MD13_importance_holds", IMPORTANCE_HOLDS, **design_sql())
 def md13_holds(t: Inputs):
-    fitted = models.fit(t.housing(), models.forest(**TREES))
-    return importance_holds(ev.importance_table(t.spark, fitted), "importance")
+    return importance_holds(ensembles.fit(t.kept(), ds.sales_recipe(), ensembles.forest()).importance(t.spark))
 
 
-@query("MD14_importance_holds", IMPORTANCE_HOLDS)
+@query("MD14_importance_holds", IMPORTANCE_HOLDS, **design_sql())
 def md14_holds(t: Inputs):
-    fitted = models.fit(t.housing(), models.bagged_trees(**TREES))
-    return importance_holds(ev.tree_importance_table(t.spark, fitted), "value")
+    return importance_holds(ensembles.fit(t.kept(), ds.sales_recipe(), ensembles.bagged_trees()).importance(t.spark))
 
 
 CV = {
@@ -186,8 +214,8 @@ CV = {
 
 
 def held_out(t: Inputs, names: list[str] = AREA) -> DataFrame:
-    rows = rec.folds(t.housing("par_id", "sale_price_adj", *names), "par_id", SEED)
-    return models.resample(rows, models.linear, stages=lambda: [rec.DesignVector(names)])
+    rows = rec.folds(t.kept("par_id", "sale_price_adj", *names), "par_id", SEED)
+    return equations.out_of_fold(rows, ds.Recipe(names))
 
 
 @query("MD4_out_of_fold_predictions", "SELECT par_id, fold, round(pred, 5) AS pred FROM held", **CV)
@@ -258,7 +286,7 @@ def md6_levels(t: Inputs):
 
 def bounded(t: Inputs) -> DataFrame:
     housing = t.kept("par_id", "sale_price_adj", *AREA)
-    return modelling.score_with_bounds(small_fit(housing), housing, housing, names=AREA)
+    return modelling.score_with_bounds(equations.fit(housing, ONE), housing)
 
 
 @query(
@@ -275,8 +303,8 @@ def md7(t: Inputs):
 @query("MD8_tree_bounds")
 def md8(t: Inputs):
     housing = t.kept()
-    fitted = models.fit(housing, models.bagged_trees(**TREES))
-    return models.tree_bounds(fitted, housing).select("par_id", "pred", "pred_lower", "pred_upper")
+    bounded_ = ensembles.fit(housing, ds.sales_recipe(), ensembles.bagged_trees()).with_bounds(housing)
+    return bounded_.select("par_id", "pred", "pred_lower", "pred_upper", "std_error")
 
 
 @query(
@@ -343,21 +371,42 @@ def md11(t: Inputs):
     **BOUNDS,
 )
 def md12(t: Inputs):
-    table = ev.coefficient_table(t.spark, small_fit(t.housing()), names=AREA)
+    table = equations.fit(t.kept("par_id", "sale_price_adj", *AREA), ONE).coefficients(t.spark)
     shown = rounded(rounded(table, 8, "estimate"), 10, "std_error")
     return rounded(rounded(shown, 3, "statistic"), 6, "p_value")
 
 
+@query(
+    "MD12_weak_term",
+    """SELECT round(b / se, 4) AS statistic, round(1 - 2 * area, 6) AS p_value FROM tested, (
+      SELECT sum(w * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * pow(1 + pow(x, 2) / df, -(df + 1) / 2.0)) AS area FROM steps)""",
+    **{
+        "fit_lot": """SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS xm, count(*) - 2 AS df, regr_sxx(y, x) AS sxx
+            FROM (SELECT log10(sale_price_adj) AS y, lot_area AS x FROM housing)""",
+        "tested": """SELECT any_value(b) AS b, any_value(df) AS df, sqrt(sum(pow(log10(sale_price_adj) - a - b * lot_area, 2)) / any_value(df) / any_value(sxx)) AS se
+            FROM housing, fit_lot""",
+        # Simpson's rule from 0 to |t|, in 2,000 steps.
+        "steps": """SELECT df, abs(b / se) * k / 2000 AS x, abs(b / se) / 2000 / 3 * CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END AS w
+            FROM tested, range(2001) r(k)""",
+    },
+)
+def md12_weak(t: Inputs):
+    """A p-value away from 0, against the integral of the density."""
+    rows = t.kept("par_id", "sale_price_adj", "lot_area")
+    table = equations.fit(rows, ds.Recipe(["lot_area"])).coefficients(t.spark).where("term = 'lot_area'").select("statistic", "p_value")
+    return rounded(rounded(table, 4, "statistic"), 6, "p_value")
+
+
 @query("MD13_importance")
 def md13(t: Inputs):
-    fitted = models.fit(t.housing(), models.forest(**TREES))
-    return ev.ranked_terms(ev.importance_table(t.spark, fitted), "importance", rec.Roles().nominal)
+    grown = ensembles.fit(t.kept(), ds.sales_recipe(), ensembles.forest())
+    return ev.ranked_terms(grown.importance(t.spark), "importance", rec.Roles().nominal)
 
 
 @query("MD14_importance_with_spread")
 def md14(t: Inputs):
-    fitted = models.fit(t.housing(), models.bagged_trees(**TREES))
-    return ev.ranked_terms(ev.tree_importance_table(t.spark, fitted), "value", rec.Roles().nominal)
+    grown = ensembles.fit(t.kept(), ds.sales_recipe(), ensembles.bagged_trees())
+    return ev.ranked_terms(grown.importance(t.spark), "importance", rec.Roles().nominal)
 
 
 TERMS = " UNION ALL ".join(

@@ -62,13 +62,19 @@ def sv2(t: Inputs):
     return found.select("request_id", "par_id", "sale_price_adj")
 
 
-@query(
-    "SV3_top_styles",
-    """SELECT request_id, p.style_desc, p.n, r.geo_id FROM requests r JOIN (SELECT geo_id, CASE WHEN k <= 3 THEN style_desc ELSE 'Other' END
+STYLES = """SELECT request_id, p.style_desc, p.n, r.geo_id FROM requests r JOIN (SELECT geo_id, CASE WHEN k <= {top} THEN style_desc ELSE 'Other' END
       AS style_desc, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, rank() OVER (PARTITION BY geo_id ORDER BY n DESC) AS k FROM
-      (SELECT geo_id, style_desc, count(*) AS n FROM housing GROUP BY ALL)) GROUP BY 1, 2) p ON p.geo_id = r.geo_id""",
-)
+      (SELECT geo_id, style_desc, count(*) AS n FROM housing GROUP BY ALL)) GROUP BY 1, 2) p ON p.geo_id = r.geo_id"""
+
+
+@query("SV3_top_styles", STYLES.format(top=5))
 def sv3(t: Inputs):
+    return serving.top_styles(t.housing(), t.requests())
+
+
+@query("SV3_top_three_styles", STYLES.format(top=3))
+def sv3_three(t: Inputs):
+    """With fewer places than styles, the rest are pooled."""
     return serving.top_styles(t.housing(), t.requests(), 3)
 
 

@@ -45,3 +45,33 @@ def student_quantile(p: float, df: float) -> float:
 
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
+
+
+def student_two_sided(t: float, df: float) -> float:
+    """Probability that Student's t is at least as far from 0: the incomplete beta function by its continued fraction."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1.0:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - front * _beta_fraction(1 - x, b, a) / b
+    return front * _beta_fraction(x, a, b) / a
+
+
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    """Lentz's way through the continued fraction of the incomplete beta function."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1), tiny)
+    total = d
+    for m in range(1, 10_000):
+        for step in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d, c = 1.0 + step * d, 1.0 + step / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            total *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return total

@@ -4,12 +4,18 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from parcelmill.runtime import session  # noqa: E402
 
 
+# The same examples each time.
+settings.register_profile("repeatable", derandomize=True)
+settings.load_profile("repeatable")
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     made = session(
