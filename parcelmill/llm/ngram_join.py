@@ -7,14 +7,15 @@ order of all shingles, a prefix of n - T(n) + m shingles of each set then has at
 least min(m of one, m of the other) shingles in common: longer prefixes, more
 matches. How long pays off is decided set by set, by what its candidates cost:
 
-1. All sets start with m = n // 8, shingles in the order of their hashes. The
-   frequency of every prefix shingle is counted. Sets whose prefix holds too few
-   shared shingles have no partner and are done.
-2. If a set's prefix holds fewer frequent shingles (``HOT`` sets or more) than it
-   must match, a rare one is among the matches. Such a set posts only its rare
-   shingles, whose lists are short, and pairs are verified if they match often
-   enough there.
-3. The other sets are costly: mostly shared passages and large groups of near
+1. Shingles are in the order of their hashes. The frequency of every shingle in the longest prefixes, m = n // 8,
+   is counted. Sets whose prefix holds too few shared shingles have no partner and are done.
+2. Each set weighs m = 1, 2, 4, … up to n // 8: a longer prefix posts more shingles, and each posting is read by its list; but a partner must
+   match more often, so fewer pairs are loaded and verified. A pair's postings in
+   the prefix divided by the matches it needs bounds its candidates. The m with the least cost is taken. Frequent
+   shingles (in ``HOT`` sets or more) are not posted; an m counts only if a rare shingle is among the matches
+   with any partner. Pairs are verified if they match often enough: the lesser m, less the lesser number of
+   frequent shingles.
+3. Sets without such an m are costly: mostly shared passages and large groups of near
    copies. For pairs among them the whole sets are counted and the prefix is
    taken from the rarest shingles on. Lists of a large group are not expanded
    into pairs: each list is compared to one hub first, which joins its group
@@ -47,6 +48,8 @@ WIDTH = 5
 PERCENT = 75
 #: A shingle in so many sets or more is frequent.
 HOT = 32
+#: What loading and verifying a pair costs, in postings read.
+VERIFY = 16
 #: How often shingles of costly sets are counted again among the sets that are left.
 PRUNINGS = 3
 
@@ -170,9 +173,9 @@ def _classes(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _profile(rows: DataFrame, sizes: DataFrame, width: int, percent: int, hot: int) -> DataFrame:
-    """Sets that may have a partner: (set, n, rare, frequent, costly).
+    """Sets that may have a partner: (set, n, m, frequent, costly, rare).
 
-    ``rare`` are the shared shingles of the first prefix below ``hot`` sets, and
+    ``m`` says how often partners must match. ``rare`` are the shared shingles of the prefix below ``hot`` sets, and
     ``frequent`` counts the others.
     """
 
@@ -190,26 +193,56 @@ def _profile(rows: DataFrame, sizes: DataFrame, width: int, percent: int, hot: i
         yield out.batch()
 
     entries = rows.select("text").mapInArrow(prefixes, "set long, tokens array<long>").select(
-        "set", F.explode("tokens").alias("token")
-    )
-    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select(
-        "token", (F.col("sets") >= hot).alias("hot")
+        "set", F.posexplode("tokens").alias("at", "token")
     )
+    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     shared = (
         entries.join(counts, "token")
         .groupBy("set")
-        .agg(
-            F.collect_set(F.when(~F.col("hot"), F.col("token"))).alias("rare"),
-            F.size(F.collect_set(F.when(F.col("hot"), F.col("token")))).alias("frequent"),
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("at", "token", "sets"))).alias("shared"))
+        .join(sizes, "set")
     )
     # What any partner must match: its own prefix may be shorter, as it may be smaller.
     must = _matches(f"({percent} * n + 99) div 100")
-    return (
-        shared.join(sizes, "set")
-        .where(f"size(rare) + frequent >= {must}")
-        .select("set", "n", "rare", "frequent", F.expr(f"frequent >= {must}").alias("costly"))
-    )
+    kept = shared.where(f"size(shared) >= {must}").withColumn("must", F.expr(must))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_set = [_choice(np.array(at), np.array(sets), n, must, percent, hot) for at, sets, n, must in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True)]
+            m, frequent, costly, places = (list(x) for x in zip(*of_set, strict=True)) if of_set else ([], [], [], [])
+            tokens = [np.array(t, dtype=np.int64)[p] for t, p in zip(batch.column(2).to_pylist(), places, strict=True)]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(4), pa.array(m, pa.int64()), pa.array(frequent, pa.int64()), pa.array(costly, pa.bool_()), pa.array(tokens, pa.list_(pa.int64()))],
+                names=["set", "n", "m", "frequent", "costly", "rare"],
+            )
+
+    parts = kept.select("set", *[F.col(f"shared.{x}").alias(x) for x in ("at", "token", "sets")], "n", F.col("must").cast("long").alias("must"))
+    return parts.mapInArrow(chosen, "set long, n long, m long, frequent long, costly boolean, rare array<long>")
+
+
+def _choice(at: np.ndarray, sets: np.ndarray, n: int, must: int, percent: int, hot: int) -> tuple[int, int, bool, np.ndarray]:
+    """(m, frequent shingles, costly, places of the posted shingles) of a set, from the places and frequencies of its shared prefix shingles.
+
+    Of m = 1, 2, 4, … and n // 8 the one with the least cost among those with fewer frequent shingles than any partner
+    must match. Without one the set is costly and posts its rare shingles of the longest prefix.
+    """
+    most = matches(n)
+    needless = n - least_overlap(n, percent)
+    rare = sets < hot
+    best = None
+    for m in sorted({1 << k for k in range(most.bit_length()) if 1 << k <= most} | {most}):
+        inside = at < needless + m
+        frequent = int(np.count_nonzero(inside & ~rare))
+        left = min(m, must) - frequent
+        if left > 0:
+            posted = inside & rare
+            read = int((sets[posted] - 1).sum())
+            price = read + VERIFY * read / left
+            if best is None or price < best[0]:
+                best = (price, m, frequent, False, np.flatnonzero(posted))
+    if best:
+        return best[1:]
+    return most, int(np.count_nonzero(~rare)), True, np.flatnonzero(rare)
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> Column:
@@ -218,9 +251,9 @@ def _similar_sizes(a: str, b: str, percent: int) -> Column:
 
 def _rare_pairs(profile: DataFrame, percent: int) -> DataFrame:
     """(a, b, matched): pairs with enough rare prefix shingles in common, not both costly."""
-    posted = profile.select("set", "n", "frequent", "costly", F.explode("rare").alias("token"))
-    sides = [posted.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("set", "n", "frequent", "costly")]) for side in "ab"]
-    wanted = f"least({_matches('a_n')}, {_matches('b_n')}) - least(a_frequent, b_frequent)"
+    posted = profile.select("set", "n", "m", "frequent", "costly", F.explode("rare").alias("token"))
+    sides = [posted.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("set", "n", "m", "frequent", "costly")]) for side in "ab"]
+    wanted = "least(a_m, b_m) - least(a_frequent, b_frequent)"
     return (
         sides[0]
         .join(sides[1], "token")

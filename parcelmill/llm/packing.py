@@ -2,13 +2,16 @@
 
 A document longer than the largest length fills whole sequences with its first
 parts; the rest is packed like the others. Pieces are taken from long to short.
-A piece goes into the open bin with the least room that still holds it; if none
-does, the bin size with the least cost per unit of expected contents is opened:
-the whole size if smaller pieces to fill it are left, the piece alone if not. At
-the end each bin is reduced to the smallest permitted length that holds it.
+A piece goes into the open bin with the least room that still holds it. If none
+does, a bin is opened, and its size is chosen over all permitted lengths at once: for
+each, the lengths still to come tell what would fill the bin, and the size with the least cost per unit of that
+content wins, the larger among equals. A sequence has a fixed cost, so a large bin pays off while small pieces remain, and a
+quadratic one, so the largest isn't always the best. Other bins may get what was expected; at the end each bin is
+reduced to the smallest permitted length that holds its contents.
 
 Packing runs in groups of about ``group_rows`` pieces, dealt by a hash of id and
-place, so hot sources, ids and long runs of equal documents are spread evenly.
+place, so hot sources, ids and long runs of equal documents are spread evenly. Lengths are
+worked out once and written, so what is dealt doesn't change if a task is run again.
 Another split of the input into tasks may give another, equally valid packing.
 """
 
@@ -16,21 +19,22 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelmill.llm.common import field
+from parcelmill.llm.common import field, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 GROUP_ROWS = 2_000
 
 
 def sequence_cost(capacity: int) -> float:
-    """Cost of a sequence: linear work per token and a quadratic share for attention."""
-    return capacity + capacity * capacity / 16_384
+    """Cost of a sequence: a fixed part, linear work per token and a quadratic share for attention."""
+    return 512 + capacity + capacity * capacity / 8_192
 
 
 class _Room:
@@ -60,32 +64,47 @@ class _Room:
         return bin_, room
 
 
+def _filling(lengths: Sequence[int], sums: Sequence[int], first: int, room: int) -> int:
+    """How much of ``room`` the pieces from ``first`` on fill, the longest that fits each time; ``sums`` are their running totals."""
+    total, at = 0, first
+    while True:
+        at = max(at, bisect.bisect_left(lengths, -room, key=lambda x: -x))
+        if at >= len(lengths):
+            return total
+        end = bisect.bisect_right(sums, sums[at] + room) - 1
+        total, room, at = total + sums[end] - sums[at], room - (sums[end] - sums[at]), end
+
+
 def best_fit(
     lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost
-) -> tuple[list[int], list[int], list[int]]:
-    """Pack lengths given from long to short: (bin of each, offset in it, final capacity of each bin)."""
+) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Pack positive lengths given from long to short: (bin of each, offset in it, final capacity of each bin, the one it was opened with)."""
     capacities = sorted(capacities)
-    # Units still to come after each piece: what a larger bin may be filled with.
-    coming = [0] * (len(lengths) + 1)
-    for k in range(len(lengths) - 1, -1, -1):
-        coming[k] = coming[k + 1] + lengths[k]
-    room, used, where, offsets = _Room(), [], [], []
+    sums = [0, *accumulate(lengths)]
+    room, used, opened, where, offsets = _Room(), [], [], [], []
+
+    def smallest(content: int) -> int:
+        return capacities[bisect.bisect_left(capacities, content)]
+
     for k, length in enumerate(lengths):
-        taken = room.take(length) if length else None
+        taken = room.take(length)
         if taken:
             bin_, left = taken
         else:
-            fitting = [c for c in capacities if c >= length]
-            expected = lambda c: min(c, length + coming[k + 1])  # noqa: B023, E731
-            left = min(fitting, key=lambda c: (cost(c) / max(expected(c), 1), c))
+
+            def price(c: int) -> tuple[float, int]:
+                content = length + _filling(lengths, sums, k + 1, c - length)  # noqa: B023
+                return cost(smallest(content)) / content, -c
+
+            left = min((c for c in capacities if c >= length), key=price)
             bin_ = len(used)
             used.append(0)
+            opened.append(left)
         where.append(bin_)
         offsets.append(used[bin_])
         used[bin_] += length
         room.add(left - length, bin_)
-    final = [next(c for c in capacities if c >= size) for size in used]
-    return where, offsets, final
+    return where, offsets, [smallest(size) for size in used], opened
 
 
 def pack(
@@ -103,16 +122,19 @@ def pack(
     ``start`` is where the piece begins in its document, ``bin_offset`` where it
     lies in its bin; (pack_group, bin) names a bin.
 
-    Documents without length (missing or empty text) have one piece of length 0,
-    which takes no room but keeps its row. A missing key is allowed; repeated
+    Documents without length (missing or empty text) keep one row, a piece of length 0 that is
+    in no bin: its bin, capacity and offset are missing. A missing key is allowed; repeated
     rows are packed separately. Other columns are not read. An empty table gives
     no rows.
     """
     largest = max(capacities)
-    rows = docs.select(
-        field(key).alias("key"),
-        F.coalesce(length, F.lit(0)).cast("long").alias("total"),
-        F.monotonically_increasing_id().alias("row"),
+    rows = written(
+        docs.select(
+            field(key).alias("key"),
+            F.coalesce(length, F.lit(0)).cast("long").alias("total"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "lengths",
     )
     pieces = rows.select(
         "key",
@@ -138,8 +160,12 @@ def pack(
 
     def in_group(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "key", "piece"], ascending=[False, True, True], kind="stable", na_position="last")
-        where, offsets, final = best_fit(group["length"].tolist(), capacities, cost)
-        return group.assign(bin=where, bin_offset=offsets, capacity=[final[b] for b in where])[schema.fieldNames()]
+        where, offsets, final, _ = best_fit([n for n in group["length"].tolist() if n], capacities, cost)
+        # The pieces without length come last.
+        whole = lambda values, kind: pd.Series([*values, *[None] * (len(group) - len(where))], index=group.index, dtype=kind)
+        return group.assign(
+            bin=whole(where, "Int64"), bin_offset=whole(offsets, "Int64"), capacity=whole([final[b] for b in where], "Int32")
+        )[schema.fieldNames()]
 
     return dealt.drop("row").groupBy("pack_group").applyInPandas(in_group, schema).withColumnRenamed("key", key)
 

@@ -173,3 +173,35 @@ def test_vectors_without_key_or_rows(spark):
     assert got == sorted([(None, 2, None, False), (3, 2, 3, True), (3, 2, 3, True), (4, 0, 4, True)], key=repr)
     assert embeddings.near_vectors(table.limit(0)).count() == 0
     assert [tuple(r) for r in embeddings.near_vectors(table.selectExpr("vec_id", "cast(null as array<float>) embedding").limit(1)).collect()] == [(None, 0, None, False)]
+
+
+def test_prefixes_follow_the_cost_of_candidates():
+    n = 80  # up to 10 matches, 20 shingles may differ
+    at = np.arange(30)
+    rare, common = np.full(30, 2), np.full(30, 31)
+    m, frequent, costly, posted = ngram_join._choice(at, rare, n, 7, 75, 32)
+    assert (frequent, costly) == (0, False) and posted.tolist() == list(range(20 + m))
+    # Cheap shingles behind dear ones: a longer prefix costs little and saves pairs.
+    later = np.concatenate([common[:21], rare[21:]])
+    assert ngram_join._choice(at, later, n, 7, 75, 32)[0] > 1
+    # Dear shingles behind cheap ones: the shortest prefix.
+    assert ngram_join._choice(at, np.concatenate([rare[:21], common[21:]]), n, 7, 75, 32)[0] == 1
+    # Frequent shingles in the shortest prefix call for a longer one; too many make a set costly.
+    some = rare.copy()
+    some[:3] = 100
+    m, frequent, costly, posted = ngram_join._choice(at, some, n, 7, 75, 32)
+    assert m > 3 and frequent == 3 and not costly and posted.min() == 3
+    some[:8] = 100
+    m, frequent, costly, posted = ngram_join._choice(at, some, n, 7, 75, 32)
+    assert (m, frequent, costly) == (10, 8, True) and posted.tolist() == list(range(8, 30))
+
+
+@pytest.mark.parametrize("hot", [2, 3, 1000])
+def test_join_of_passages_equals_brute_force(spark, hot):
+    """Sets built from a small stock of passages, some nearly the same, and lists of few words among them."""
+    rng = np.random.default_rng(11)
+    stock = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(10)]
+    rows = [(k, " ".join(stock[p] for p in rng.permutation(10)[: int(rng.integers(4, 9))])) for k in range(70)]
+    rows += [(100 + k, " ".join(stock[p] for p in [0, 1, 2, 3, 4, 5 + k % 2])) for k in range(12)]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], DOCS).repartition(3)
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(docs, hot=hot).collect()), key=repr) == brute(rows)
