@@ -9,6 +9,7 @@ from parcelmill.catalog.registry import query
 from parcelmill.functions.dates import month_rank
 from parcelmill.operators import aggregates as agg
 from parcelmill.operators import distribution as dist
+from parcelmill.operators import splines
 from parcelmill.operators.factors import level_order
 from parcelmill.operators.windows import keep_frequent
 from parcelmill.runtime import lookup_join
@@ -213,6 +214,30 @@ def ds10(t: Inputs):
     return rounded(rounded(table, 4, "x"), 2, "y")
 
 
+@query("DS10_spline_trend")
+def ds10_spline(t: Inputs):
+    """The drift of prices over the years as a penalised spline with its band, per style."""
+    rows = t.kept("style_desc", "sale_date", "sale_price_adj").withColumn("day", F.datediff("sale_date", F.lit("1990-01-01")))
+    return rounded(splines.trend(rows, "day", "sale_price_adj", ["style_desc"]), 2, "x", "y", "y_lower", "y_upper")
+
+
+@query(
+    "DS10_spline_holds",
+    """SELECT style_desc, count(*) AS n, round(avg(sale_price_adj), 2) AS mean, round(avg(sale_price_adj * day) / avg(day), 2) AS slanted, true AS fits_better
+    FROM (SELECT *, date_diff('day', DATE '1990-01-01', sale_date) AS day FROM housing) GROUP BY style_desc""",
+)
+def ds10_spline_holds(t: Inputs):
+    """A penalty on bends leaves lines alone: smoothed values have the mean of the prices and the same product with the day."""
+    rows = t.kept("style_desc", "sale_date", "sale_price_adj").withColumn("day", F.datediff("sale_date", F.lit("1990-01-01")))
+    smooth = splines.smoothed(rows, splines.fit(rows, "day", "sale_price_adj", ["style_desc"]), "day", ["style_desc"])
+    price = F.col("sale_price_adj")
+    table = smooth.groupBy("style_desc").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("smooth").alias("mean"), (F.avg(F.col("smooth") * F.col("day")) / F.avg("day")).alias("slanted"),
+        (F.avg(F.pow(price - F.col("smooth"), 2)) <= F.var_pop(price)).alias("fits_better"),
+    )
+    return rounded(table, 2, "mean", "slanted")
+
+
 @query(
     "DS11_count_and_median_per_year",
     """SELECT sale_year, style_desc, round(quantile_cont(sale_price_adj, 0.5), 6) AS median, count(*) AS n FROM housing GROUP BY ALL""",

@@ -11,6 +11,7 @@ plan nor the driver grows with the levels, and a design row holds its non-zero e
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -147,10 +148,10 @@ def learn(rows: DataFrame, recipe: Recipe, fold: str | None = None, v: int = 0)
     counts = settle(value_counts(rows, recipe, fold))
     seen = less_own_fold(counts, models, ["name", "value"], "n")
     numbers = list(recipe.medians)
-    medians = {(r["k"], r["name"]): r["median"] for r in _medians(seen.where(F.col("name").isin(*numbers))).collect()} if numbers else {}
-    levels, maps = _levels(seen.where(~F.col("name").isin(*numbers)) if numbers else seen, recipe)
-    pooled = _by_name(recipe, lambda c: F.lit(c.other), F.lit(None).cast("string"))
-    others = {(r["k"], r["name"]): (r["term"], r["position"]) for r in levels.where(F.col("level") == pooled).collect()}
+    with ThreadPoolExecutor(2) as pool:
+        middle = pool.submit(lambda: _medians(seen.where(F.col("name").isin(*numbers))).collect() if numbers else [])
+        levels, maps, others = _levels(seen.where(~F.col("name").isin(*numbers)) if numbers else seen, recipe)
+        medians = {(r["k"], r["name"]): r["median"] for r in middle.result()}
     return Design(recipe, models, levels, maps, medians, others)
 
 
@@ -165,7 +166,8 @@ def _medians(seen: DataFrame) -> DataFrame:
     return placed.groupBy("k", "name").agg(((low + high) / 2).alias("median"))
 
 
-def _levels(seen: DataFrame, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
+def _levels(seen: DataFrame, recipe: Recipe) -> tuple[DataFrame, DataFrame, dict[tuple[int, str], tuple[int | None, int]]]:
+    """The tables ``levels`` and ``maps`` of a design, and its pooled levels."""
     nothing = F.lit(None).cast("string")
     trained = seen.where("value is not null and n > 0")
     modes = trained.groupBy("k", "name").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("mode"))
@@ -212,7 +214,10 @@ def _levels(seen: DataFrame, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
     maps = ways.join(numbered.drop("n"), ["k", "name", "level"], "left").select(
         "k", "name", "raw", F.col("position").isNotNull().alias("known"), "term", F.when(F.col("term").isNotNull(), 1.0).alias("weight"), "level", "position"
     )
-    return numbered, settle(maps)
+    with ThreadPoolExecutor(2) as pool:
+        stored = pool.submit(settle, maps)
+        pooled = numbered.where(F.col("level") == other).collect()
+        return numbered, stored.result(), {(r["k"], r["name"]): (r["term"], r["position"]) for r in pooled}
 
 
 def term_names(design: Design) -> DataFrame:

@@ -14,6 +14,7 @@ it explain it. Predictions then don't use it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
@@ -259,12 +260,18 @@ def fit(rows: DataFrame, recipe: Recipe, outcome: str = "sale_price_adj", fold:
     model without usable rows predicts nothing.
     """
     labelled = prepared(rows.withColumn("__y", log10_positive(quoted(outcome))).where("__y is not null"), recipe)
-    design = learn(labelled, recipe, fold, v)
     d = len(recipe.numeric)
-    near = labelled.limit(ORIGIN_ROWS).agg(*[F.coalesce(F.avg(f"__x{j}"), F.lit(0.0)).alias(f"x{j}") for j in range(d)], F.coalesce(F.avg("__y"), F.lit(0.0)).alias("y"))
-    origin = [float(x) for x in near.first()]
-    sums = cells(labelled, recipe, origin, fold)
-    trained = less_own_fold(settle(sums), design.models, ["a", "b"], "value")
+
+    def summed() -> tuple[list[float], DataFrame]:
+        near = labelled.limit(ORIGIN_ROWS).agg(*[F.coalesce(F.avg(f"__x{j}"), F.lit(0.0)).alias(f"x{j}") for j in range(d)], F.coalesce(F.avg("__y"), F.lit(0.0)).alias("y"))
+        origin = [float(x) for x in near.first()]
+        return origin, settle(cells(labelled, recipe, origin, fold))
+
+    # What the recipe learns and the sums don't need each other.
+    with ThreadPoolExecutor(2) as pool:
+        learnt, sums = pool.submit(learn, labelled, recipe, fold, v), pool.submit(summed)
+        design, (origin, sums) = learnt.result(), sums.result()
+    trained = less_own_fold(sums, design.models, ["a", "b"], "value")
     # What each value of a row is in a model's design: terms and weights; the outcome is term -1.
     fixed = [(k, j, j if j <= d else -1, 1.0) for k in design.models for j in range(d + 2)]
     for (k, name), median in design.medians.items():
@@ -284,8 +291,8 @@ def fit(rows: DataFrame, recipe: Recipe, outcome: str = "sale_price_adj", fold:
     products = trained.join(left, ["k", "a"]).join(right, ["k", "b"]).groupBy("k", "i", "j").agg(
         F.sum(F.col("value") * F.col("wi") * F.col("wj")).alias("value")
     )
-    found = products.toPandas()
-    labels = term_names(design).toPandas()
+    with ThreadPoolExecutor(2) as pool:
+        found, labels = pool.map(lambda df: df.toPandas(), [products, term_names(design)])
     models = {}
     for k in design.models:
         own = labels[labels["k"] == k].sort_values("term")["name"].tolist()
