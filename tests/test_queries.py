@@ -15,6 +15,8 @@ SOME = [
     "AG13_allow_list", "WN2_zscore_within_group", "WN4_sample_per_group", "RS5_complete_grid", "FC4_lump_top",
     "SF20_district_name", "SF21_municipality_rules", "DS3_grouped_histogram", "DS5_density", "DS7_box_summary",
     "GE3_repair_missed_points", "FE2_stratified_split", "MD7_linear_bounds", "SV5_rating_grid", "CJ1_clean_assessments",
+    "FE11_reference_levels", "FE13_design_vector", "FE13_fit_and_apply_recipe", "MD1_normal_equations", "MD12_weak_term", "CJ8_full_report",
+    "CJ7_linear_fold_metrics", "DS10_spline_holds", "SV3_top_styles",
 ]
 NAMES = sorted(queries()) if os.environ.get("PARCELMILL_ALL") else SOME
 
