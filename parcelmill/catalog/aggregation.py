@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelmill.catalog.inputs import SEED, Inputs, rounded
+from parcelmill.catalog.inputs import HOUSING_TYPES, SEED, Inputs, rounded
 from parcelmill.catalog.registry import query
 from parcelmill.functions.dates import MONTHS
 from parcelmill.functions.property_rules import EXTRA_USES, GRADE_ORDER
@@ -152,15 +152,6 @@ def ag11(t: Inputs):
     return rounded(agg.share_of_total(counts), 8, "share")
 
 
-# The columns of the sales table in order, with their Spark types.
-HOUSING_TYPES = {
-    "par_id": "bigint", "sale_price_adj": "double", "house_age_at_sale": "bigint", "sale_year": "bigint", "sale_month": "string",
-    "lot_area": "double", "finished_living_area": "double", "bedrooms": "bigint", "fullbaths": "bigint", "halfbaths": "bigint",
-    "geo_id": "string", "style_desc": "string", "grade_desc": "string", "condition_desc": "string", "ac_flag": "boolean", "heat_type": "string",
-    "longitude": "double", "latitude": "double", "year_blt": "bigint", "school_desc": "string", "sale_date": "date",
-}
-
-
 def _profile_sql() -> str:
     def column(position: int, c: str, kind: str) -> str:
         length = f"min(length({c})) AS min_length, max(length({c})) AS max_length" if kind == "string" else "CAST(NULL AS BIGINT) AS min_length, CAST(NULL AS BIGINT) AS max_length"

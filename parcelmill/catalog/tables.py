@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelmill.catalog.inputs import GRADES, Inputs, rounded
+from parcelmill.catalog.inputs import GRADES, HOUSING_TYPES, Inputs, rounded
 from parcelmill.catalog.registry import query
 from parcelmill.functions import property_rules as rules
 from parcelmill.operators import geography as geo
@@ -97,7 +97,15 @@ def io7(t: Inputs):
     )
 
 
-@query("IO8_schema_preview")
+@query(
+    "IO8_schema_preview",
+    " UNION ALL ".join(
+        f"""SELECT CAST({k + 1} AS BIGINT) AS position, '{c}' AS "column", '{kind}' AS type, coalesce(string_agg(CAST({c} AS VARCHAR), ', ' ORDER BY par_id), '')
+        AS first_values FROM head"""
+        for k, (c, kind) in enumerate(HOUSING_TYPES.items())
+    ),
+    head="SELECT * FROM housing ORDER BY par_id LIMIT 5",
+)
 def io8(t: Inputs):
     return io.preview(t.housing().orderBy("par_id"))
 
