@@ -3,21 +3,26 @@
 Pivots are reference vectors from a bounded sample of the table, none a near copy
 of another; their number follows the root of the row count within fixed bounds. A vector is
 described by its ``near`` nearest pivots in order, more of them the more pivots there
-are. Two vectors are compared if they share at least ``shared`` of these: each vector is entered in the inverted
+are. Each vector is entered in the inverted
 list of every combination of ``shared`` of its pivots, so a list holds just the
-vectors that share them. A pair is compared in one list only, the first of its
+vectors that share them. A pair meets in one list only, the first of its
 common combinations.
 
 Lists are cut into blocks of at most ``block_rows`` vectors and every pair of
 blocks is a task of its own, so a group of copies as large as a third of the
-table is spread over many tasks. A task verifies its pairs by their cosine and
-returns counts and a spanning set of links, never the pairs.
+table is spread over many tasks. A first pass over the lists sees the orders of
+pivots alone: a pair is a candidate if it shares enough pivots and these stand at
+like positions in both orders (``agreement``). How far the positions of vectors at
+the limit drift apart is measured on drawn pairs (``least_agreement``). Only vectors that have a
+candidate are loaded, for the blocks in which they have one, and verified by their cosine.
+A task returns counts and a spanning set of links, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ MIN_PIVOTS, MAX_PIVOTS = 64, 4_096
 #: Vectors drawn for each pivot wanted, and the cosine from which one is too close to a pivot.
 PIVOT_SAMPLE, PIVOT_COSINE = 4, 0.8
 BLOCK_ROWS = 512
+#: Pairs at the limit drawn to learn how like their orders of pivots are, and the share of them that the bound may lose.
+TRIALS, LOST = 4_096, 0.002
 SEED = 42
 
 
@@ -53,6 +60,50 @@ def near_count(pivots: int) -> int:
     return max(NEAR, (pivots - 1).bit_length())
 
 
+def agreement(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shared pivots of two arrays of orders, and how like their positions are; the arrays are broadcast.
+
+    A shared pivot counts ``near`` less the later of its two positions (from 0), so the sum is what
+    the footrule distance of the orders leaves of its greatest value, halved.
+    """
+    near = one.shape[-1]
+    shape = np.broadcast_shapes(one.shape[:-1], other.shape[:-1])
+    shared, like = np.zeros(shape, dtype=np.int16), np.zeros(shape, dtype=np.int16)
+    for i in range(near):
+        for j in range(near):
+            same = one[..., i] == other[..., j]
+            shared += same
+            like += same * np.int16(near - max(i, j))
+    return shared, like
+
+
+def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    """The ``near`` pivots with the greatest cosine for each row, nearest first."""
+    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :near].astype(np.int32)
+
+
+def least_agreement(drawn: np.ndarray, pivots: np.ndarray, near: int, shared: int, least: float) -> int:
+    """The likeness of positions that all but ``LOST`` of the pairs at the limit reach, among those that share enough pivots.
+
+    Each of at most ``TRIALS`` drawn vectors gets a partner at a cosine of exactly ``least`` in a seeded random
+    direction. 0 leaves every pair that shares enough pivots a candidate, as where no partner exists
+    (fewer than two dimensions).
+    """
+    drawn = drawn[:TRIALS]
+    if drawn.shape[1] < 2 or not 0 < least < 1:
+        return 0
+    aside = np.random.default_rng(SEED).normal(size=drawn.shape)
+    aside -= (aside * drawn).sum(axis=1, keepdims=True) * drawn
+    norm = np.linalg.norm(aside, axis=1, keepdims=True)
+    partner = least * drawn + np.sqrt(1 - least * least) * np.divide(aside, norm, out=np.zeros_like(aside), where=norm > 0)
+    seen = []
+    for at in range(0, len(drawn), 512):
+        common, like = agreement(*(nearest_pivots(x[at : at + 512], pivots, near) for x in (drawn, partner)))
+        seen.append(like[common >= shared])
+    seen = np.concatenate(seen) if seen else np.zeros(0, dtype=np.int16)
+    return int(np.quantile(seen, LOST, method="lower")) if len(seen) else 0
+
+
 def _unit(lists: pa.ListArray, size: int) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
@@ -130,20 +181,20 @@ def near_vectors(
 
 def _links(items: DataFrame, size: int, least: float, near: int | None, shared: int, block_rows: int) -> DataFrame:
     """(item, other, n): links for components, and rows without ``other`` that add n to the item's count."""
-    pivots = _pivots(items, size)
+    drawn = _drawn(items, size)
+    pivots = _pivots(drawn)
     near = min(near_count(len(pivots)) if near is None else near, len(pivots))
     shared = min(shared, near)
+    rule = _Rule(shared, least_agreement(drawn, pivots, near, shared, least), len(pivots))
     reference = items.sparkSession.sparkContext.broadcast(pivots)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = reference.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                cosine = _unit(part.column("vector"), size) @ pivots.T
-                order = np.argsort(-cosine, axis=1, kind="stable")[:, :near]
+                order = nearest_pivots(_unit(part.column("vector"), size), reference.value, near)
                 yield pa.record_batch(
-                    [*part.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["item", "vector", "times", "nearest"]
+                    [*part.columns, pa.array(list(order), pa.list_(pa.int32()))], names=["item", "vector", "times", "nearest"]
                 )
 
     kind = items.schema["vector"].dataType.simpleString()
@@ -159,46 +210,74 @@ def _links(items: DataFrame, size: int, least: float, near: int | None, shared:
     entries = described.select("item", "nearest", F.explode(F.array(*[F.expr(n) for n in names])).alias("list"))
     sizes = entries.groupBy("list").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     # Lists of one vector are gone; longer ones are cut into blocks by a hash of the item.
-    placed = entries.select("item", "list").join(sizes, "list").select(
-        "item", "list", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")
+    placed = entries.join(sizes, "list").select(
+        "item", "nearest", "list", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")
     ).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     # Block b meets every block c: the pair (low, high) gets both.
-    copies = placed.select(
-        "item", "list", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    ).select("item", "list", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
-    loaded = copies.join(described, "item")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by list and block pair; a group may reach over batches."""
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            names = [table.column(c).to_numpy() for c in ("list", "low", "high")]
-            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
-            if len(new):
-                yield _compared(table.slice(0, new[-1]), [0, *new.tolist()], size, least, shared, base)
-            rest = table.slice(new[-1]) if len(new) else table
-        if rest is not None and rest.num_rows:
-            yield _compared(rest, [0, rest.num_rows], size, least, shared, base)
-
-    base = len(pivots)
-    order = ("list", "low", "high")
-    return (
-        loaded.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "item string, other string, n long")
+    copies = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "item", "nearest", "list", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")
     )
 
+    def screen(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        """The rows that have a candidate in their pair of blocks."""
+        wanted = np.zeros(table.num_rows, dtype=bool)
+        for one, other in _candidates(table, cuts, rule):
+            wanted[one] = wanted[other] = True
+        kept = table.select(["item", *_PLACE, "block"]).filter(pa.array(wanted)).combine_chunks()
+        return pa.record_batch([c.combine_chunks() for c in kept.columns], names=kept.column_names)
+
+    def verify(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        return _verified(table, cuts, size, least, rule)
+
+    def by_place(rows: DataFrame, work, schema: str) -> DataFrame:
+        """Apply ``work`` to the rows of whole pairs of blocks; a pair may reach over batches."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = None
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+                places = [table.column(c).to_numpy() for c in _PLACE]
+                new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in places], axis=0)) + 1
+                if len(new):
+                    yield work(table.slice(0, new[-1]), [0, *new.tolist()])
+                rest = table.slice(new[-1]) if len(new) else table
+            if rest is not None and rest.num_rows:
+                yield work(rest, [0, rest.num_rows])
+
+        return rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(run, schema)
 
-def _pivots(items: DataFrame, size: int) -> np.ndarray:
-    """Reference vectors that are no near copies of each other, from a sample of bounded size.
+    screened = by_place(copies, screen, "item string, list long, low int, high int, block int")
+    return by_place(screened.join(described, "item"), verify, "item string, other string, n long")
+
+
+#: The columns that name a pair of blocks of a list.
+_PLACE = ["list", "low", "high"]
+
+
+class _Rule(NamedTuple):
+    """Which pairs are candidates: shared pivots, likeness of their positions, and the base of list names."""
+
+    shared: int
+    like: int
+    base: int
+
+
+def _drawn(items: DataFrame, size: int) -> np.ndarray:
+    """A seeded sample of the vectors, ``PIVOT_SAMPLE`` for each pivot wanted."""
+    wanted = PIVOT_SAMPLE * pivot_count(items.count())
+    rows = items.orderBy(F.xxhash64(F.lit(SEED), "item"), "item").limit(wanted).select("vector").collect()
+    return _unit(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), size)
+
+
+def _pivots(drawn: np.ndarray) -> np.ndarray:
+    """Reference vectors that are no near copies of each other, at most a quarter of ``PIVOT_SAMPLE`` times their number.
 
     Pivots inside one group of copies would tell its members apart by chance
     only, and their lists would miss each other.
     """
-    wanted = pivot_count(items.count())
-    drawn = items.orderBy(F.xxhash64(F.lit(SEED), "item"), "item").limit(PIVOT_SAMPLE * wanted).select("vector").collect()
-    drawn = _unit(pa.array([r["vector"] for r in drawn], pa.list_(pa.float64())), size)
-    chosen = np.zeros((wanted, size))
+    wanted = min(max(len(drawn) // PIVOT_SAMPLE, MIN_PIVOTS), MAX_PIVOTS)
+    chosen = np.zeros((wanted, drawn.shape[1]))
     count = 0
     for vector in drawn:
         if count < wanted and (count == 0 or (chosen[:count] @ vector).max() < PIVOT_COSINE):
@@ -207,31 +286,42 @@ def _pivots(items: DataFrame, size: int) -> np.ndarray:
     return chosen[:count]
 
 
-def _compared(table: pa.Table, cuts: list[int], size: int, least: float, shared: int, base: int) -> pa.RecordBatch:
+def _candidates(table: pa.Table, cuts: list[int], rule: _Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (two index arrays) that meet between two cuts, belong to that list and agree in their pivots."""
+    lists, low, high, block = (table.column(c).to_numpy() for c in (*_PLACE, "block"))
+    nearest = table.column("nearest").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    rising = np.sort(nearest.astype(np.int64), axis=1)
+    cuts = cuts if cuts[-1] == table.num_rows else [*cuts, table.num_rows]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        rows = np.arange(start, end)
+        within = low[start] == high[start]
+        a, b = (rows, rows) if within else (rows[block[rows] == low[start]], rows[block[rows] == high[start]])
+        # Some rows at a time bound the memory, whatever the size of a block.
+        for at in range(0, len(a), 256):
+            part = a[at : at + 256]
+            common, like = agreement(nearest[part][:, None], nearest[b][None])
+            one, other = np.nonzero((common >= rule.shared) & (like >= rule.like))
+            one, other = part[one], b[other]
+            if within:
+                one, other = one[one < other], other[one < other]
+            if len(one):
+                here = _first_common(rising[one], rising[other], rule.shared, rule.base) == lists[start]
+                if here.any():
+                    yield one[here], other[here]
+
+
+def _verified(table: pa.Table, cuts: list[int], size: int, least: float, rule: _Rule) -> pa.RecordBatch:
     """Counts and a spanning set of links of each group of rows between two cuts."""
-    lists, low, high, block, times = (table.column(c).to_numpy() for c in ("list", "low", "high", "block", "times"))
+    times = table.column("times").to_numpy()
     unit = _unit(table.column("vector").combine_chunks(), size)
-    nearest = np.sort(
-        table.column("nearest").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(unit), -1), axis=1
-    )
     items = table.column("item")
     found_one, found_other = [], []
-    cuts = cuts if cuts[-1] == len(unit) else [*cuts, len(unit)]
-    for start, end in zip(cuts, cuts[1:], strict=False):
-        rows = np.arange(start, end)
-        if low[start] == high[start]:
-            a = b = rows
-        else:
-            a, b = rows[block[rows] == low[start]], rows[block[rows] == high[start]]
-        if not len(a) or not len(b):
-            continue
-        cosine = unit[a] @ unit[b].T
-        one, other = np.nonzero(np.triu(cosine >= least, 1) if low[start] == high[start] else cosine >= least)
-        if len(one):
-            one, other = a[one], b[other]
-            here = _first_common(nearest[one], nearest[other], shared, base) == lists[start]
-            found_one.append(one[here])
-            found_other.append(other[here])
+    for one, other in _candidates(table, cuts, rule):
+        rows, of_one = np.unique(one, return_inverse=True)
+        columns, of_other = np.unique(other, return_inverse=True)
+        linked = (unit[rows] @ unit[columns].T)[of_one, of_other] >= least
+        found_one.append(one[linked])
+        found_other.append(other[linked])
     one = np.concatenate(found_one) if found_one else np.zeros(0, dtype=np.int64)
     other = np.concatenate(found_other) if found_other else np.zeros(0, dtype=np.int64)
     n = np.zeros(len(unit), dtype=np.int64)

@@ -157,7 +157,7 @@ def test_recall_near_the_limit(spark, monkeypatch, pivots):
     aside = unit(aside - (aside * one).sum(axis=1, keepdims=True) * one)
     cosine = rng.uniform(0.9001, 0.93, (600, 1))
     other = cosine * one + np.sqrt(1 - cosine**2) * aside
-    monkeypatch.setattr(embeddings, "_pivots", lambda items, size: unit(rng.normal(size=(pivots, size))))
+    monkeypatch.setattr(embeddings, "_pivots", lambda drawn: unit(rng.normal(size=(pivots, drawn.shape[1]))))
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.concatenate([one, other]))]
     got = embeddings.near_vectors(spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS).repartition(3)).collect()
     there = nearby(rows)
@@ -166,6 +166,31 @@ def test_recall_near_the_limit(spark, monkeypatch, pivots):
     assert sum(r["kept"] for r in got) <= 600 + 0.01 * 600
 
 
+def test_agreement_is_the_footrule_of_the_orders():
+    rng = np.random.default_rng(3)
+    near = 6
+    one, other = (np.array([rng.permutation(9)[:near] for _ in range(40)]) for _ in range(2))
+    shared, like = embeddings.agreement(one[:, None], other[None])
+    for i, a in enumerate(one.tolist()):
+        for j, b in enumerate(other.tolist()):
+            place = lambda order, p: order.index(p) if p in order else near
+            footrule = sum(abs(place(a, p) - place(b, p)) for p in {*a, *b})
+            assert shared[i, j] == len({*a} & {*b}) and 2 * like[i, j] == near * (near + 1) - footrule
+
+
+def test_positions_of_unrelated_vectors_differ():
+    """The bound on positions keeps pairs at the limit and drops most others that share two pivots."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    drawn, pivots = unit(rng.normal(size=(2000, 64))), unit(rng.normal(size=(64, 64)))
+    least = embeddings.least_agreement(drawn, pivots, 6, 2, 0.9)
+    orders = embeddings.nearest_pivots(drawn[:600], pivots, 6)
+    shared, like = embeddings.agreement(orders[:, None], orders[None])
+    enough = np.triu(shared >= 2, 1)
+    assert least > 0 and (like[enough] >= least).mean() < 0.9
+    assert embeddings.least_agreement(np.ones((3, 1)), np.ones((1, 1)), 1, 1, 0.9) == 0
+
+
 def test_vectors_without_key_or_rows(spark):
     rows = [(None, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [-1.0, 0.5])]
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
