@@ -60,20 +60,25 @@ def near_count(pivots: int) -> int:
     return max(NEAR, (pivots - 1).bit_length())
 
 
-def agreement(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def agreement(one: np.ndarray, other: np.ndarray, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Shared pivots of two arrays of orders, and how like their positions are; the arrays are broadcast.
 
     A shared pivot counts ``near`` less the later of its two positions (from 0), so the sum is what
-    the footrule distance of the orders leaves of its greatest value, halved.
+    the footrule distance of the orders leaves of its greatest value, halved. With ``top``, only
+    pivots up to this number are counted as shared.
     """
     near = one.shape[-1]
+    kind = np.uint8 if near <= 22 else np.uint32
     shape = np.broadcast_shapes(one.shape[:-1], other.shape[:-1])
-    shared, like = np.zeros(shape, dtype=np.int16), np.zeros(shape, dtype=np.int16)
+    shared, like = np.zeros(shape, dtype=kind), np.zeros(shape, dtype=kind)
+    # One position at a time, side by side in memory.
+    one, other = np.ascontiguousarray(np.moveaxis(one, -1, 0)), np.ascontiguousarray(np.moveaxis(other, -1, 0))
     for i in range(near):
+        counted = None if top is None else one[i] <= top
         for j in range(near):
-            same = one[..., i] == other[..., j]
-            shared += same
-            like += same * np.int16(near - max(i, j))
+            same = one[i] == other[j]
+            like += np.multiply(same, kind(near - max(i, j)), dtype=kind)
+            shared += same if counted is None else same & counted
     return shared, like
 
 
@@ -221,8 +226,12 @@ def _links(items: DataFrame, size: int, least: float, near: int | None, shared:
     def screen(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
         """The rows that have a candidate in their pair of blocks."""
         wanted = np.zeros(table.num_rows, dtype=bool)
-        for one, other in _candidates(table, cuts, rule):
-            wanted[one] = wanted[other] = True
+        orders = _orders(table)
+        for a, b, top in _meetings(table, cuts, rule):
+            common, like = agreement(orders[a][:, None], orders[b][None], top)
+            one, other = np.nonzero((common == rule.shared) & (like >= rule.like))
+            apart = a[one] != b[other]
+            wanted[a[one[apart]]] = wanted[b[other[apart]]] = True
         kept = table.select(["item", *_PLACE, "block"]).filter(pa.array(wanted)).combine_chunks()
         return pa.record_batch([c.combine_chunks() for c in kept.columns], names=kept.column_names)
 
@@ -286,40 +295,44 @@ def _pivots(drawn: np.ndarray) -> np.ndarray:
     return chosen[:count]
 
 
-def _candidates(table: pa.Table, cuts: list[int], rule: _Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (two index arrays) that meet between two cuts, belong to that list and agree in their pivots."""
+def _orders(table: pa.Table) -> np.ndarray:
+    return table.column("nearest").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+
+def _meetings(table: pa.Table, cuts: list[int], rule: _Rule) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Rows that meet between two cuts, as two index arrays and the last pivot of their list.
+
+    All rows of a list share its pivots. It is the list in which a pair is compared if they share
+    no other pivot up to the last one. Some rows come at a time, which bounds the memory.
+    """
     lists, low, high, block = (table.column(c).to_numpy() for c in (*_PLACE, "block"))
-    nearest = table.column("nearest").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-    rising = np.sort(nearest.astype(np.int64), axis=1)
     cuts = cuts if cuts[-1] == table.num_rows else [*cuts, table.num_rows]
     for start, end in zip(cuts, cuts[1:], strict=False):
         rows = np.arange(start, end)
         within = low[start] == high[start]
         a, b = (rows, rows) if within else (rows[block[rows] == low[start]], rows[block[rows] == high[start]])
-        # Some rows at a time bound the memory, whatever the size of a block.
         for at in range(0, len(a), 256):
-            part = a[at : at + 256]
-            common, like = agreement(nearest[part][:, None], nearest[b][None])
-            one, other = np.nonzero((common >= rule.shared) & (like >= rule.like))
-            one, other = part[one], b[other]
-            if within:
-                one, other = one[one < other], other[one < other]
-            if len(one):
-                here = _first_common(rising[one], rising[other], rule.shared, rule.base) == lists[start]
-                if here.any():
-                    yield one[here], other[here]
+            yield a[at : at + 256], b, int(lists[start] % rule.base)
 
 
 def _verified(table: pa.Table, cuts: list[int], size: int, least: float, rule: _Rule) -> pa.RecordBatch:
-    """Counts and a spanning set of links of each group of rows between two cuts."""
+    """Counts and a spanning set of links of each group of rows between two cuts.
+
+    The product of the blocks costs less than comparing orders, so it comes first; links are
+    the candidates among the pairs that pass it.
+    """
     times = table.column("times").to_numpy()
     unit = _unit(table.column("vector").combine_chunks(), size)
-    items = table.column("item")
+    items, orders = table.column("item"), _orders(table)
     found_one, found_other = [], []
-    for one, other in _candidates(table, cuts, rule):
-        rows, of_one = np.unique(one, return_inverse=True)
-        columns, of_other = np.unique(other, return_inverse=True)
-        linked = (unit[rows] @ unit[columns].T)[of_one, of_other] >= least
+    for a, b, top in _meetings(table, cuts, rule):
+        one, other = np.nonzero(unit[a] @ unit[b].T >= least)
+        one, other = a[one], b[other]
+        # Between blocks all rows of one come apart from those of the other; within one, a pair counts once.
+        once = one < other if np.isin(a[:1], b).any() else one != other
+        one, other = one[once], other[once]
+        common, like = agreement(orders[one], orders[other], top)
+        linked = (common == rule.shared) & (like >= rule.like)
         found_one.append(one[linked])
         found_other.append(other[linked])
     one = np.concatenate(found_one) if found_one else np.zeros(0, dtype=np.int64)
@@ -341,18 +354,6 @@ def _verified(table: pa.Table, cuts: list[int], size: int, least: float, rule: _
     )
 
 
-def _first_common(one: np.ndarray, other: np.ndarray, shared: int, base: int) -> np.ndarray:
-    """The list with the smallest common pivots of each pair of sorted rows, or -1 if they share fewer than ``shared``."""
-    common = (one[:, :, None] == other[:, None, :]).any(axis=2)
-    enough = common.sum(axis=1) >= shared
-    rank = np.cumsum(common, axis=1)
-    name = np.zeros(len(one), dtype=np.int64)
-    for k in range(one.shape[1]):
-        take = common[:, k] & (rank[:, k] <= shared)
-        name[take] = name[take] * base + one[take, k]
-    return np.where(enough, name, -1)
-
-
 def _forest(one: list[int], other: list[int]) -> Iterator[tuple[int, int]]:
     """The links that join nodes not joined before."""
     parent: dict[int, int] = {}
