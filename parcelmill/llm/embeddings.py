@@ -21,6 +21,7 @@ A task returns counts and a spanning set of links, never the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from typing import NamedTuple
 
@@ -41,6 +42,8 @@ PIVOT_SAMPLE, PIVOT_COSINE = 4, 0.8
 BLOCK_ROWS = 512
 #: Pairs at the limit drawn to learn how like their orders of pivots are, and the share of them that the bound may lose.
 TRIALS, LOST = 4_096, 0.002
+#: Positions compared at once, which bounds the memory of a step.
+PAIR_CELLS = 1 << 21
 SEED = 42
 
 
@@ -68,18 +71,20 @@ def agreement(one: np.ndarray, other: np.ndarray, top: int | None = None) -> tup
     pivots up to this number are counted as shared.
     """
     near = one.shape[-1]
-    kind = np.uint8 if near <= 22 else np.uint32
-    shape = np.broadcast_shapes(one.shape[:-1], other.shape[:-1])
-    shared, like = np.zeros(shape, dtype=kind), np.zeros(shape, dtype=kind)
-    # One position at a time, side by side in memory.
-    one, other = np.ascontiguousarray(np.moveaxis(one, -1, 0)), np.ascontiguousarray(np.moveaxis(other, -1, 0))
-    for i in range(near):
-        counted = None if top is None else one[i] <= top
-        for j in range(near):
-            same = one[i] == other[j]
-            like += np.multiply(same, kind(near - max(i, j)), dtype=kind)
-            shared += same if counted is None else same & counted
-    return shared, like
+    same = (one[..., :, None] == other[..., None, :]).astype(np.float32)
+    flat = same.reshape(-1, near * near)  # a view: what is cleared below is cleared in both
+    like = flat @ _weights(near)
+    if top is not None:
+        same *= (one <= top)[..., :, None]
+    shared = flat @ np.ones(near * near, dtype=np.float32)
+    return shared.astype(np.int32).reshape(same.shape[:-2]), like.astype(np.int32).reshape(same.shape[:-2])
+
+
+@lru_cache
+def _weights(near: int) -> np.ndarray:
+    """What a pivot at positions (i, j) counts, row by row."""
+    place = np.arange(near)
+    return (near - np.maximum.outer(place, place)).ravel().astype(np.float32)
 
 
 def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
@@ -190,7 +195,7 @@ def _links(items: DataFrame, size: int, least: float, near: int | None, shared:
     pivots = _pivots(drawn)
     near = min(near_count(len(pivots)) if near is None else near, len(pivots))
     shared = min(shared, near)
-    rule = _Rule(shared, least_agreement(drawn, pivots, near, shared, least), len(pivots))
+    rule = _Rule(near, shared, least_agreement(drawn, pivots, near, shared, least), len(pivots))
     reference = items.sparkSession.sparkContext.broadcast(pivots)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +270,9 @@ _PLACE = ["list", "low", "high"]
 
 
 class _Rule(NamedTuple):
-    """Which pairs are candidates: shared pivots, likeness of their positions, and the base of list names."""
+    """Which pairs are candidates: pivots of an order, shared ones, likeness of their positions, and the base of list names."""
 
+    near: int
     shared: int
     like: int
     base: int
@@ -311,8 +317,9 @@ def _meetings(table: pa.Table, cuts: list[int], rule: _Rule) -> Iterator[tuple[n
         rows = np.arange(start, end)
         within = low[start] == high[start]
         a, b = (rows, rows) if within else (rows[block[rows] == low[start]], rows[block[rows] == high[start]])
-        for at in range(0, len(a), 256):
-            yield a[at : at + 256], b, int(lists[start] % rule.base)
+        step = max(1, PAIR_CELLS // (len(b) * rule.near**2)) if len(b) else len(a) + 1
+        for at in range(0, len(a) if len(b) else 0, step):
+            yield a[at : at + step], b, int(lists[start] % rule.base)
 
 
 def _verified(table: pa.Table, cuts: list[int], size: int, least: float, rule: _Rule) -> pa.RecordBatch:
@@ -331,6 +338,8 @@ def _verified(table: pa.Table, cuts: list[int], size: int, least: float, rule: _
         # Between blocks all rows of one come apart from those of the other; within one, a pair counts once.
         once = one < other if np.isin(a[:1], b).any() else one != other
         one, other = one[once], other[once]
+        if not len(one):
+            continue
         common, like = agreement(orders[one], orders[other], top)
         linked = (common == rule.shared) & (like >= rule.like)
         found_one.append(one[linked])

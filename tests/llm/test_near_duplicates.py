@@ -176,6 +176,7 @@ def test_agreement_is_the_footrule_of_the_orders():
             place = lambda order, p: order.index(p) if p in order else near
             footrule = sum(abs(place(a, p) - place(b, p)) for p in {*a, *b})
             assert shared[i, j] == len({*a} & {*b}) and 2 * like[i, j] == near * (near + 1) - footrule
+            assert embeddings.agreement(one[i], other[j], 4)[0] == len([p for p in {*a} & {*b} if p <= 4])
 
 
 def test_positions_of_unrelated_vectors_differ():
