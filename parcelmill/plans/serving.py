@@ -193,8 +193,7 @@ def value_domains(
 def store_trimmed(results: DataFrame, path: str) -> None:
     """The columns the app looks up, partitioned by area so one area is one folder.
 
-    Rows are spread by area and style first; a hot area is written by several tasks.
+    A hot area is written by as many tasks as its rows need.
     """
     trimmed = results.select("geo_id", "style_desc", "grade_desc", "condition_desc", "sale_price_adj")
-    spread = trimmed.withColumn("__slot", F.pmod(F.xxhash64("style_desc", "sale_price_adj"), F.lit(8)))
-    write_table(spread.repartition("geo_id", "__slot").drop("__slot"), path, "geo_id")
+    write_table(trimmed, path, "geo_id")

@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelmill.runtime import lookup_join, quoted
+
+#: Rows of a file of a partitioned sink.
+FILE_ROWS = 1_000_000
+
 ASSESSMENTS = """
     par_id string, usedesc string, school_desc string, muni_desc string, sale_desc string,
     sale_price double, sale_date string, year_blt bigint, style_desc string, bedrooms bigint,
@@ -27,8 +32,21 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     )
 
 
+def spread_by(df: DataFrame, column: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Rows dealt so that each value of ``column`` is written by one task for every ``file_rows`` rows.
+
+    Values are counted first, so a small folder gets one file and a hot one as many as it needs.
+    Equal rows stay together.
+    """
+    counts = df.groupBy(column).agg(F.ceil(F.count(F.lit(1)) / F.lit(file_rows)).alias("__slices"))
+    slot = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.col("__slices"))
+    dealt = lookup_join(df, counts, [column]).withColumn("__slot", slot)
+    return dealt.repartition(quoted(column), F.col("__slot")).drop("__slices", "__slot")
+
+
 def write_csv(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    writer = df.write.mode("overwrite").options(
+    """CSV sink with a header; a partitioned one writes as few files a value as its rows need."""
+    writer = (spread_by(df, partition_by) if partition_by else df).write.mode("overwrite").options(
         header=True, nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     (writer.partitionBy(partition_by) if partition_by else writer).csv(path)
@@ -39,8 +57,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Parquet sink; a partitioned one splits a hot value over the writing tasks."""
-    writer = df.write.mode("overwrite")
+    """Parquet sink; a partitioned one writes as few files a value as its rows need."""
+    writer = (spread_by(df, partition_by) if partition_by else df).write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 

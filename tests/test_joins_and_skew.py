@@ -11,6 +11,7 @@ from parcelmill.operators import aggregates as agg
 from parcelmill.operators import relational as rel
 from parcelmill.operators import windows as win
 from parcelmill.runtime import big_join, fits, lookup_join
+from parcelmill.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -160,3 +161,19 @@ def test_profile_counts(spark):
     table = {r["column"]: r for r in agg.profile(rows).collect()}
     assert (table["t"]["n_missing"], table["t"]["n_unique"], table["t"]["max_length"]) == (1, 2, 2)
     assert (table["x"]["mean"], table["x"]["p50"], table["x"]["complete_rate"]) == (3.0, 2.0, 0.75)
+
+
+def test_partitioned_sink_writes_the_files_a_value_needs(spark):
+    rows = [("hot", k) for k in range(900)] + [("cold", k) for k in range(50)] + [(None, 1), (None, 1)]
+    table = spark.createDataFrame(rows, "area string, id long").repartition(6)
+    dealt = tables.spread_by(table, "area", file_rows=100)
+    # Adaptive execution would merge partitions as small as these.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = dealt.withColumn("task", F.spark_partition_id()).groupBy("area").agg(
+        F.count("id").alias("n"), F.countDistinct("task").alias("tasks")
+    )
+    found = {r["area"]: (r["n"], r["tasks"]) for r in placed.collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {a: n for a, (n, _) in found.items()} == {"hot": 900, "cold": 50, None: 2}
+    assert found["cold"][1] == found[None][1] == 1 < found["hot"][1] <= 9
+    assert dealt.columns == ["area", "id"] and tables.spread_by(table.limit(0), "area").count() == 0
