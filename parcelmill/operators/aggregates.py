@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelmill.operators.relational import anti_join, bind_rows
-from parcelmill.runtime import lookup_join, settle
+from parcelmill.runtime import BROADCAST_ROWS, at_most, lookup_join, settle
 
 # A group up to this size may be held by one task; a larger one is narrowed down first.
 GROUP_ROWS = 1_000_000
@@ -124,23 +124,30 @@ def _narrow_once(values: DataFrame, targets: DataFrame, keys: list[str]) -> Data
     """
     cuts = F.array(*[F.lit(k / SLICES) for k in range(SLICES + 1)])
     target = [*keys, "rank", "before", "inside"]
-    inside = _in_range(values, targets, keys)
-    sketched = inside.groupBy(*target).agg(F.percentile_approx("__v", cuts, 10_000).alias("cuts"))
+    # Ranks that are looked for in the same range share its sketch.
+    span = [*keys, "lo", "hi", "before", "inside"]
+    inside = _in_range(values, targets.select(*span).distinct(), keys)
+    sketches = inside.groupBy(*span).agg(F.percentile_approx("__v", cuts, 10_000).alias("cuts"))
+    sketched = targets.select(*target, "lo", "hi").join(
+        sketches.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("lo").alias("__b_lo"), F.col("hi").alias("__b_hi"), "cuts"),
+        _same([*keys, "lo", "hi"]),
+    )
     slot = F.floor((F.col("rank") - F.col("before")) / F.col("inside") * SLICES).cast("int")
     borders = sketched.select(
         *target,
+        F.col("lo").alias("from"),
+        F.col("hi").alias("to"),
         F.col("cuts")[F.greatest(slot - 1, F.lit(0))].alias("lo"),
         F.col("cuts")[F.least(slot + 2, F.lit(SLICES))].alias("hi"),
     )
     borders = settle(borders)
     x = F.col("__v")
     between = (x > F.col("lo")) & (x < F.col("hi"))
-    # The border and what lies below it in the present range is counted with it.
-    counted = (
-        _in_range(values, targets.select(*keys, "rank", F.col("lo").alias("from"), F.col("hi").alias("to")), keys, "from", "to")
-        .join(borders.select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("rank").alias("__b_rank"), "before", "lo", "hi"),
-              _same([*keys, "rank"]))
-        .groupBy(*keys, "rank", "before", "lo", "hi")
+    # The border and what lies below it in the present range is counted with it, once for ranks with the same borders.
+    span = [*keys, "from", "to", "before", "lo", "hi"]
+    each = (
+        _in_range(values, borders.select(*span).distinct(), keys, "from", "to")
+        .groupBy(*span)
         .agg(
             F.count(F.when(x < F.col("lo"), 1)).alias("below"),
             F.count(F.when(x == F.col("lo"), 1)).alias("at_lo"),
@@ -149,6 +156,8 @@ def _narrow_once(values: DataFrame, targets: DataFrame, keys: list[str]) -> Data
             F.max(F.when(between, x)).alias("mid_hi"),
         )
     )
+    named = each.withColumnsRenamed({c: f"__b_{c}" for c in span})
+    counted = borders.join(named, _same(span))
     from_lo = F.col("before") + F.col("below")
     from_mid = from_lo + F.col("at_lo")
     from_hi = from_mid + F.col("mid")
@@ -172,15 +181,16 @@ def _same(keys: list[str]) -> Column:
 
 def _pick(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     ready = targets.where(F.col("lo") == F.col("hi")).select(*keys, "rank", F.col("lo").alias("x"))
-    counts = (
-        _in_range(values, targets.where(F.col("lo") < F.col("hi")), keys)
-        .groupBy(*keys, "rank", "before", "__v")
-        .agg(F.count("__v").alias("c"))
-    )
-    # At most max_group_rows values per target.
-    upto = Window.partitionBy(*keys, "rank").orderBy("__v")
+    # Ranks in the same range share the count of its values.
+    wide = targets.where(F.col("lo") < F.col("hi"))
+    span = [*keys, "lo", "hi", "before"]
+    counts = _in_range(values, wide.select(*span).distinct(), keys).groupBy(*span, "__v").agg(F.count("__v").alias("c"))
+    # At most max_group_rows values per range.
+    upto = Window.partitionBy(*span).orderBy("__v")
     end = F.col("before") + F.sum("c").over(upto)
-    placed = counts.withColumn("end", end)
+    wanted = wide.select("rank", *[F.col(c).alias(f"__b_{c}") for c in span])
+    wanted = F.broadcast(wanted) if at_most(wanted, BROADCAST_ROWS) else wanted
+    placed = counts.withColumn("end", end).join(wanted, _same(span))
     hit = (F.col("end") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("end"))
     return bind_rows(ready, placed.where(hit).select(*keys, "rank", F.col("__v").alias("x")))
 
