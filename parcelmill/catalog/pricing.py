@@ -503,9 +503,9 @@ def md18_price(t: Inputs):
     **FIT1,
 )
 def md19(t: Inputs):
-    housing = t.kept()
-    scored = settle(models.residuals(models.predict(small_fit(housing), housing)).drop("features"))
     columns = ["geo_id", "style_desc", "grade_desc", "condition_desc", "bedrooms"]
+    housing = t.kept("par_id", "sale_price_adj", *AREA, *columns)
+    scored = settle(models.residuals(models.predict(small_fit(housing), housing)).select("resid", *columns))
     rows = longer(scored, ["resid"], columns, "feature", "value", "string")
     table = box_summary(rows, ["feature", "value"], "resid").select("feature", "value", "median", "n")
     return rounded(table, 6, "median")
