@@ -116,9 +116,10 @@ def fit(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), knots: int = KN
     joined = lookup_join(rows, placed, group, "inner", base_table=True)
     u = F.coalesce(F.try_divide(F.col("__x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     last = F.greatest(F.size("knots") - 2, F.lit(0))
-    interval = F.least(F.size(F.filter(F.slice("knots", 2, KNOTS * knots), lambda k: k <= u)), last)
-    joined = joined.withColumns({"__u": u, "interval": interval})
-    parts = _between(F.col("__u"), F.get("knots", F.col("interval")), F.get("knots", F.col("interval") + 1))
+    joined = joined.withColumn("__u", u)
+    joined = joined.withColumn("interval", F.least(F.size(F.filter(F.slice("knots", 2, KNOTS * knots), lambda k: k <= F.col("__u"))), last))
+    joined = joined.withColumns({"__low": F.get("knots", F.col("interval")), "__high": F.get("knots", F.col("interval") + 1)})
+    parts = _between(F.col("__u"), F.col("__low"), F.col("__high"))
     # A group with one place has heights only.
     parts = {name: F.coalesce(c, F.lit(1.0 if name == "below" else 0.0)) for name, c in parts.items()}
     joined = joined.withColumns({f"__{name}": c for name, c in parts.items()})
@@ -167,12 +168,14 @@ def smoothed(df: DataFrame, fitted: DataFrame, x: str, keys: Sequence[str] = (),
     joined = lookup_join(df, curve, keys) if keys else df.crossJoin(F.broadcast(curve))
     c = F.col("__curve")
     place = F.col(x).cast("double")
-    u = F.coalesce(F.try_divide(place - c["lo"], c["hi"] - c["lo"]), F.lit(0.0))
-    j = F.greatest(F.least(F.size(F.filter(c["knots"], lambda k: k <= u)), F.size(c["knots"]) - 1) - 1, F.lit(0))
-    parts = _between(u, F.get(c["knots"], j), F.get(c["knots"], j + 1))
+    # Step by step, so that a row's place among the knots is looked up once and not wherever it is used.
+    joined = joined.withColumn("__u", F.coalesce(F.try_divide(place - c["lo"], c["hi"] - c["lo"]), F.lit(0.0)))
+    joined = joined.withColumn("__j", F.greatest(F.least(F.size(F.filter(c["knots"], lambda k: k <= F.col("__u"))), F.size(c["knots"]) - 1) - 1, F.lit(0)))
+    j = F.col("__j")
+    parts = _between(F.col("__u"), F.get(c["knots"], j), F.get(c["knots"], j + 1))
     value = (
         F.get(c["heights"], j) * parts["below"] + F.get(c["heights"], j + 1) * parts["above"]
         + F.get(c["bends"], j) * parts["bend_below"] + F.get(c["bends"], j + 1) * parts["bend_above"]
     )
     value = F.when(F.size(c["knots"]) == 1, F.get(c["heights"], F.lit(0))).otherwise(value)
-    return joined.withColumn(name, F.when(place.between(c["lo"], c["hi"]), value)).drop("__curve")
+    return joined.withColumn(name, F.when(place.between(c["lo"], c["hi"]), value)).drop("__curve", "__u", "__j")
