@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,24 +227,27 @@ class Fitted:
         origin, terms, quantile = m.origin, len(m.names), student_quantile(0.5 + level / 2, m.df)
         step = max(DENSE_ENTRIES // terms, 1)
 
-        @F.pandas_udf("double")
-        def half_width(places: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def half_width(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             root = shared.value
-            for at, values in places:
-                out = np.empty(len(at))
-                for a in range(0, len(at), step):
-                    some = at.iloc[a : a + step]
-                    sizes = some.map(len).to_numpy()
-                    dense = np.zeros((len(some), terms))
+            for batch in batches:
+                places, weights = batch.flatten()
+                sizes = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                at, values = places.flatten().to_numpy(), weights.flatten().to_numpy()
+                out = np.empty(len(batch))
+                for a in range(0, len(batch), step):
+                    own = sizes[a : a + step]
+                    some = slice(ends[a], ends[a + len(own)])
+                    dense = np.zeros((len(own), terms))
                     dense[:, 0] = 1
                     dense[:, 1:] = -origin
-                    if sizes.sum():
-                        np.add.at(dense, (np.repeat(np.arange(len(some)), sizes), np.concatenate(some.to_list())), np.concatenate(values.iloc[a : a + step].to_list()))
+                    np.add.at(dense, (np.repeat(np.arange(len(own)), own), at[some]), values[some])
                     out[a : a + step] = quantile * np.sqrt(((dense @ root) ** 2).sum(axis=1))
-                yield pd.Series(out)
+                yield pa.array(out)
 
-        empty = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind))
-        half = F.when(F.col("terms").isNotNull(), half_width(empty("terms", "array<int>"), empty("weights", "array<double>")))
+        empty = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
+        half = F.when(F.col("terms").isNotNull(), half_width(F.struct(empty("terms", "array<int>"), empty("weights", "array<double>"))))
         bounded = scored.withColumn("__half", half).withColumns(
             {"pred_lower": F.col("pred") - F.col("__half"), "pred_upper": F.col("pred") + F.col("__half")}
         )
