@@ -177,7 +177,9 @@ DENSITY = """SELECT k AS request_id, j AS point, round(lo + j * step, 6) AS x, r
 
 
 def _density(t: Inputs, column: str):
-    table = serving.feature_density(t.housing(), t.requests(), column).select("request_id", "point", "x", "density")
+    t = t.stored()
+    requests = settle(t.requests().select("request_id", *serving.MATCH))
+    table = serving.feature_density(t.housing(), requests, column).select("request_id", "point", "x", "density")
     return rounded(rounded(table, 6, "x"), 9, "density")
 
 
@@ -253,7 +255,7 @@ def sv7(t: Inputs):
 )
 def sv8(t: Inputs):
     return serving.value_domains(
-        t.kept(),
+        t.kept("geo_id", "style_desc", "grade_desc", "condition_desc", "lot_area", "finished_living_area", "year_blt"),
         ["geo_id", "style_desc"],
         {"grade_desc": GRADE_ORDER, "condition_desc": CONDITION_ORDER},
         {"lot_area": (0.0, 0.7), "finished_living_area": (0.0, 0.95), "year_blt": (0.0, 1.0)},

@@ -111,7 +111,9 @@ def bath_grid(sales: DataFrame, requests: DataFrame) -> DataFrame:
 
 def feature_density(sales: DataFrame, requests: DataFrame, column: str, points: int = 512) -> DataFrame:
     """Density of a wide-domain feature (areas) among the comparables of each request."""
-    return for_requests(density(wanted_sales(sales, requests), column, MATCH, points), requests)
+    # A density goes over its rows several times.
+    local = settle(wanted_sales(sales, requests).select(*MATCH, column))
+    return for_requests(density(local, column, MATCH, points), requests)
 
 
 def feature_histogram(sales: DataFrame, requests: DataFrame, column: str, width: float) -> DataFrame:
@@ -175,7 +177,7 @@ def value_domains(
     )
     marks = sorted({p for pair in ranges.values() for p in pair})
     numbers = longer(sales, [], list(ranges), "column", "x", "double")
-    table = quantiles(numbers, ["column"], "x", {f"q{p}": p for p in marks})
+    table = settle(quantiles(numbers, ["column"], "x", {f"q{p}": p for p in marks}))
     pieces = [listed]
     for name, (low, high) in ranges.items():
         for kind, p in (("low", low), ("high", high)):
