@@ -166,3 +166,29 @@ def test_two_sided_tail(t, df):
     x = np.linspace(0, abs(t), 20_001)
     density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - (df + 1) / 2 * np.log1p(x * x / df)) / math.sqrt(df * math.pi)
     assert student_two_sided(t, df) == pytest.approx(1 - 2 * np.trapezoid(density, x), abs=1e-8)
+
+
+def test_predictions_make_no_design_rows(sales):
+    """Scoring adds numbers and effects in the row; tables of few levels are broadcast, so rows aren't shuffled by them."""
+    fitted = ne.fit(sales, RECIPE)
+    plan = fitted.predict(sales)._jdf.queryExecution()
+    assert "lambda" not in plan.optimizedPlan().toString()
+    assert "SortMergeJoin" not in plan.executedPlan().toString() and "Exchange hashpartitioning" not in plan.executedPlan().toString()
+
+
+def test_pairs_of_levels_are_counted_without_functions_on_arrays(sales, monkeypatch):
+    plans, real = [], ne.settle
+    monkeypatch.setattr(ne, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    rows = ds.prepared(sales.withColumn("__y", F.log10("sale_price_adj")), RECIPE)
+    origin = [0.0] * (len(RECIPE.numeric) + 1)
+    table = ne.settle(ne.cells(rows, RECIPE, origin)).toPandas().set_index(["a", "b"])["value"]
+    assert len(plans) == 2 and not any("lambda" in p for p in plans)
+    # A plain count of two levels, of a level with a gap, and of the numbers in rows of a level.
+    first, second = RECIPE.categories[0].column, RECIPE.categories[1].column
+    one = sales.withColumns({"a": F.xxhash64(F.lit(first), first), "b": F.xxhash64(F.lit(second), second), "g": F.when(F.col("bedrooms").isNull(), F.xxhash64(F.lit("bedrooms")))})
+    for x, y in (("a", "b"), ("a", "g")):
+        for r in one.where(f"{y} is not null").groupBy(x, y).agg(F.count(F.lit(1)).alias("n")).collect():
+            assert table[(r[0], r[1])] == table[(r[1], r[0])] == r["n"]
+    gaps = one.where("g is not null").agg(F.first("g").alias("g"), F.count("g").alias("n"), F.sum("sale_year").alias("s")).first()
+    year = 1 + list(RECIPE.numeric).index("sale_year")
+    assert gaps["n"] > 0 and table[(gaps["g"], gaps["g"])] == gaps["n"] and table[(year, gaps["g"])] == gaps["s"]
